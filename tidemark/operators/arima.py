@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.axis import Keys, as_list, attach, windowed
+from tidemark.operators.axis import Keys, as_list, attach, stage, windowed
 from tidemark.operators.features import difference_weights
 from tidemark.operators.linear import dot, gram, information_criteria, solve
 from tidemark.operators.splits import minimum_train
@@ -210,6 +210,9 @@ def fit_design(made: Design, extra_parameters: int = 0) -> DataFrame:
     else:
         options = F.array(*[F.lit(s).cast("long") for s in starts])
         train = train.withColumn("start", F.explode(F.filter(options, lambda s: s < F.col("rn"))))
+    levels = F.array(*[F.col(f"y_{k}") for k in range(max(made.lost + made.max_ar, 1))])
+    shocks = F.array(*[F.col(f"e_{k}") for k in range(made.max_ma)]).cast("array<double>")
+    state = F.when(F.col("rn") == F.col("origin"), F.struct(levels.alias("levels"), shocks.alias("shocks")))
     sums = gram(
         train,
         [*keys, "start"],
@@ -217,6 +220,7 @@ def fit_design(made: Design, extra_parameters: int = 0) -> DataFrame:
         F.col("w_0"),
         F.max("n").alias("n"),
         *[F.max(c).alias(c) for c in ("fit_end", "origin", "score_end")],
+        F.max(state).alias("state"),
     )
     spread = sums.withColumn(
         "spec", F.explode(F.filter(F.array(*specs), lambda s: s["start"] == F.col("start")))
@@ -272,18 +276,21 @@ def _roller(orders: dict[int, Order], names: list[str], weights: dict[int, int])
             if q:
                 past = np.stack([np.nan_to_num(np.asarray(shocks[i], dtype=float))[:q] for i in usable])
             begin, length = skip[usable].to_numpy(), count[usable].to_numpy()
+            paths = np.full((len(usable), int(length.max())), np.nan)
+
+            def record(step: np.ndarray, nxt: np.ndarray) -> None:
+                inside = (step > begin) & (step <= begin + length)
+                paths[inside, (step - begin - 1)[inside]] = nxt[inside]
+
             done = np.zeros(len(usable), dtype=int)
-            paths = [[] for _ in usable]
             # Residuals matter for the first q steps only; a later block then jumps by a matrix power.
             for h in range(1, q + 1):
                 nxt = const + (level * state).sum(axis=1)
                 for j in range(h, q + 1):
                     nxt = nxt + theta[:, j - 1] * past[:, j - h]
                 state = np.column_stack([nxt, state[:, :-1]])
-                done += 1
-                for r in range(len(usable)):
-                    if begin[r] < h <= begin[r] + length[r]:
-                        paths[r].append(nxt[r])
+                done = done + 1
+                record(done, nxt)
             for r in np.flatnonzero(begin > done):
                 width = level.shape[1]
                 step = np.zeros((width + 1, width + 1))
@@ -291,12 +298,12 @@ def _roller(orders: dict[int, Order], names: list[str], weights: dict[int, int])
                 step[1:width, : width - 1] = np.eye(width - 1)
                 jumped = np.linalg.matrix_power(step, int(begin[r] - done[r])) @ np.append(state[r], 1.0)
                 state[r], done[r] = jumped[:width], begin[r]
-            left = begin + length - done
-            for h in range(int(max(left.max(), 0))):
+            for _ in range(int(max((begin + length - done).max(), 0))):
                 nxt = const + (level * state).sum(axis=1)
                 state = np.column_stack([nxt, state[:, :-1]])
-                for r in np.flatnonzero(left > h):
-                    paths[r].append(nxt[r])
+                done = done + 1
+                record(done, nxt)
+            paths = [path[:size].tolist() for path, size in zip(paths, length)]
             for i, path in zip(usable, paths):
                 out[i] = path
         return out
@@ -307,22 +314,15 @@ def _roller(orders: dict[int, Order], names: list[str], weights: dict[int, int])
 def forecast_design(made: Design, fits: DataFrame) -> DataFrame:
     """Forecast rows (key, order_index, step, rn, predicted) from each phase's origin to its end."""
     keys = made.keys
-    depth = made.lost + max(made.max_ar, 1)
-    levels = F.array(*[F.col(f"y_{k}") for k in range(min(depth, made.lost + made.max_ar) or 1)])
-    shocks = F.array(*[F.col(f"e_{k}") for k in range(made.max_ma)]).cast("array<double>")
-    state = made.rows.filter(F.col("rn") == F.col("origin")).select(
-        *keys, levels.alias("_levels"), shocks.alias("_shocks")
-    )
+    numbers = [index for index, _ in made.orders]
     roll = _roller(dict(made.orders), made.names, made.weights)
     steps = F.col("score_end") - F.col("origin")
     skip = F.col("_part") * FORECAST_BLOCK
     parts = F.sequence(F.lit(0).cast("long"), F.floor((steps - 1) / FORECAST_BLOCK))
-    ready = (
-        fits.filter((F.col("status") == "ok") & (steps > 0))
-        .join(state, keys)
-        .withColumn("_part", F.explode(parts))
-    )
-    path = roll("order_index", "coef", "_levels", "_shocks", skip, F.least(steps - skip, F.lit(FORECAST_BLOCK)))
+    ready = fits.filter(
+        (F.col("status") == "ok") & (steps > 0) & F.col("order_index").isin(*numbers)
+    ).withColumn("_part", F.explode(parts))
+    path = roll("order_index", "coef", "state.levels", "state.shocks", skip, F.least(steps - skip, F.lit(FORECAST_BLOCK)))
     rolled = ready.withColumn("_path", path).select(
         *keys, "order_index", "origin", skip.alias("_skip"), F.posexplode("_path").alias("_i", "predicted")
     )
@@ -350,13 +350,13 @@ def fit(panel: DataFrame, orders: Sequence[Order], phases: Column, *, keys: Keys
     for index, order in enumerate(orders, start=1):
         groups.setdefault(order.differencing, []).append((index, order))
     designs = [design(spans, group, keys=keys, value=value, long_ar=long_ar) for group in groups.values()]
-    fits = [fit_design(made, extra_parameters) for made in designs]
-    forecasts = [forecast_design(made, fitted) for made, fitted in zip(designs, fits)]
 
     def union(frames):
         return reduce(lambda a, b: a.unionByName(b), frames)
 
-    return Fitted(union(fits), union(forecasts), designs)
+    # One small row per series, phase and order; written once, read by forecasts and reports.
+    fits = stage(union([fit_design(made, extra_parameters) for made in designs]), "fits")
+    return Fitted(fits, union([forecast_design(made, fits) for made in designs]), designs)
 
 
 def scored_rows(forecasts: DataFrame, panel: DataFrame, *, keys: Keys = "entity", value: str = "value") -> DataFrame:

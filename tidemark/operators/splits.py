@@ -77,7 +77,10 @@ def two_phases(train: float = 0.6, val: float = 0.2, test: float = 0.2) -> Colum
 
 
 def phase(name: str, fit_end: Column, score_end: Column, origin: Column | None = None) -> Column:
-    """One phase: rows up to ``fit_end`` are fitted, rows after ``origin`` up to ``score_end`` forecast."""
+    """One phase: rows up to ``fit_end`` are fitted, rows after ``origin`` up to ``score_end`` forecast.
+
+    ``origin`` is ``fit_end`` unless an earlier row is given.
+    """
     return F.struct(
         F.lit(name).alias("phase"),
         fit_end.cast("long").alias("fit_end"),

@@ -116,7 +116,7 @@ dirty_panel AS (
 
 
 def segment_panel(spark: SparkSession, folder: str) -> DataFrame:
-    """Average order value per market segment and month: entity, date, value."""
+    """Average order value (in thousands) per market segment and month: entity, date, value."""
     orders = read(spark, folder, "orders")
     # Pre-aggregated per customer and month, so that a customer with very many orders is no hot join key.
     per_customer = orders.groupBy("o_custkey", F.last_day("o_orderdate").alias("date")).agg(
@@ -125,13 +125,13 @@ def segment_panel(spark: SparkSession, folder: str) -> DataFrame:
     return (
         per_customer.join(read(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .groupBy(F.col("c_mktsegment").alias("entity"), "date")
-        .agg((F.sum("cents") / F.sum("orders") / 100).alias("value"))
+        .agg((F.sum("cents") / F.sum("orders") / 100000).alias("value"))
     )
 
 
 SEGMENT = """
 segment_panel AS (
-  SELECT c_mktsegment AS entity, last_day(o_orderdate) AS date, sum(round(o_totalprice * 100)::BIGINT)::BIGINT / count(*) / 100 AS value
+  SELECT c_mktsegment AS entity, last_day(o_orderdate) AS date, sum(round(o_totalprice * 100)::BIGINT)::BIGINT / count(*) / 100000 AS value
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""
 
 

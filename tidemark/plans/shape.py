@@ -157,7 +157,7 @@ trended AS (SELECT *, CASE WHEN count(*) OVER f = 13 THEN
   FROM seg WINDOW f AS (PARTITION BY entity ORDER BY rn ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING)),
 phases AS (SELECT entity, (rn - 1) % 12 AS ph, avg(value / trend) AS mean FROM trended GROUP BY 1, 2),
 seasonal AS (SELECT entity, ph, mean / avg(mean) OVER (PARTITION BY entity) AS seasonal FROM phases)
-SELECT t.entity, date, round(trend, 4) AS trend, round(seasonal, 8) AS seasonal,
+SELECT t.entity, date, round(trend, 7) AS trend, round(seasonal, 8) AS seasonal,
   round(value / (trend * seasonal), 8) AS resid, 'ok' AS status
 FROM trended t JOIN seasonal s ON t.entity = s.entity AND (rn - 1) % 12 = ph"""
 
@@ -166,7 +166,7 @@ FROM trended t JOIN seasonal s ON t.entity = s.entity AND (rn - 1) % 12 = ph"""
 def decompose_multiplicative(spark, folder):
     parts = features.decompose(P.segment_series(spark, folder), 12, "multiplicative")
     parts = parts.select("entity", "date", "trend", "seasonal", "resid", "status")
-    return rounded(rounded(parts, "seasonal", "resid"), "trend", digits=4)
+    return rounded(rounded(parts, "seasonal", "resid"), "trend", digits=7)
 
 
 @query(
@@ -180,7 +180,7 @@ def insample_outsample_tag(spark, folder):
 
 @query("hp_filter")
 def hp_filter(spark, folder):
-    return rounded(filters.hp_filter(P.segment_series(spark, folder), 1600.0), "trend", "cycle", digits=4).select(
+    return rounded(filters.hp_filter(P.segment_series(spark, folder), 1600.0), "trend", "cycle", digits=6).select(
         "entity", "date", "trend", "cycle"
     )
 
@@ -192,19 +192,19 @@ roll AS (
   WITH RECURSIVE step(entity, k, a, b, c, d) AS (
     SELECT entity, 0, a, b, c, d FROM lasts WHERE rn = n
     UNION ALL
-    SELECT entity, k + 1, b, c, d, 0.1::DOUBLE * a + 0.2::DOUBLE * b + 0.3::DOUBLE * c + 0.35::DOUBLE * d + 0.5::DOUBLE
+    SELECT entity, k + 1, b, c, d, 1 / 7::DOUBLE * a + 2 / 9::DOUBLE * b + 3 / 11::DOUBLE * c + 4 / 13::DOUBLE * d + 0.5::DOUBLE
     FROM step WHERE k < 7)
   SELECT entity, k AS step, d AS predicted FROM step WHERE k > 0)"""
 
 
-@query("recursive_window", W + RECURSIVE + f" SELECT entity, step, {r('predicted', 'predicted', 11)} FROM roll")
+@query("recursive_window", W + RECURSIVE + f" SELECT entity, step, {r('predicted', 'predicted')} FROM roll")
 def recursive_window(spark, folder):
     from tidemark.operators.axis import windowed
 
     series = P.filled_series(spark, folder)
     last4 = {"window": lambda w: F.collect_list("value").over(w.rowsBetween(-3, 0))}
     last = windowed(series, last4, back=3).filter((F.col("rn") == F.col("n")) & (F.size("window") == 4))
-    weights = F.array(*[F.lit(v) for v in (0.1, 0.2, 0.3, 0.35)])
+    weights = F.array(*[F.lit(v) for v in (1 / 7, 2 / 9, 3 / 11, 4 / 13)])
     future = features.recursive_forecast(F.col("window"), weights, F.lit(0.5), 7)
     rolled = last.select("entity", F.posexplode(future).alias("step", "predicted"))
-    return rounded(rolled.withColumn("step", F.col("step") + 1), "predicted", digits=11)
+    return rounded(rolled.withColumn("step", F.col("step") + 1), "predicted")
