@@ -54,14 +54,14 @@ def _setting(spans: DataFrame, keys: list[str], value: str, changepoints: int) -
         lambda i: F.when(i <= used, F.bround(i * (history - 1) / F.greatest(used, F.lit(1))).cast("long") + 1),
     )
     at_change = F.array_contains(F.array_compact(spot), F.col("rn"))
-    facts = train.groupBy(*keys).agg(
+    facts = train.withColumn("_change_day", F.when(at_change, day)).groupBy(*keys).agg(
         *[F.max(c).alias(c) for c in ("n", "fit_end", "origin", "score_end")],
         F.count(F.lit(1)).alias("nobs"),
         F.min(day).alias("first_day"),
         F.max(day).alias("last_day"),
         F.max(F.abs(value)).alias("scale"),
         # At most CHANGEPOINTS entries per series.
-        F.sort_array(F.collect_set(F.when(at_change, day))).alias("_change_days"),
+        F.sort_array(F.collect_set("_change_day")).alias("_change_days"),
     )
     length = (F.col("last_day") - F.col("first_day")).cast("double")
     return facts.withColumns(
