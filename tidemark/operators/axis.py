@@ -83,9 +83,9 @@ def with_position(df: DataFrame, keys: Keys = "entity", date: str = "date") -> D
     )
 
 
-def block_of(rn: Column | str = "rn", size: int = BLOCK_ROWS) -> Column:
+def block_of(rn: Column | str = "rn", size: int | None = None) -> Column:
     rn = F.col(rn) if isinstance(rn, str) else rn
-    return F.floor((rn - 1) / F.lit(size))
+    return F.floor((rn - 1) / F.lit(size or BLOCK_ROWS))
 
 
 def spread_blocks(panel: DataFrame, *, back: int = 0, ahead: int = 0, size: int | None = None) -> DataFrame:

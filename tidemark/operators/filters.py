@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.axis import BLOCK_ROWS, Keys, as_list, spread_blocks
+from tidemark.operators import axis
+from tidemark.operators.axis import Keys, as_list, spread_blocks
 
 
 def reach(lamb: float) -> int:
@@ -58,7 +59,7 @@ def hp_filter(panel: DataFrame, lamb: float = 1600.0, value: str = "value", *, k
     """
     keys = as_list(keys)
     margin = reach(lamb)
-    spread = spread_blocks(panel, back=margin, ahead=margin, size=max(BLOCK_ROWS, margin))
+    spread = spread_blocks(panel, back=margin, ahead=margin, size=max(axis.BLOCK_ROWS, margin))
     schema = T.StructType([*panel.schema.fields, T.StructField("trend", T.DoubleType())])
 
     def stretch(rows: pd.DataFrame) -> pd.DataFrame:

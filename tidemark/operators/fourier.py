@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import axis
 from tidemark.operators.axis import Keys, as_list, attach, block_of, stage
 from tidemark.operators.lagmodels import spread_phases
 from tidemark.operators.linear import solve_batch
@@ -134,10 +135,8 @@ def _fit(panel: DataFrame, phases: Column, value: str, keys: list[str], changepo
     columns = F.struct("first_day", "length", "scale", "changes", "yearly", "weekly")
     partial = blocks.select(*keys, "fit_end", _partial(changepoints)("entries", columns).alias("sums"))
     # One block per series needs no merging; longer series add their blocks up entry by entry.
-    from tidemark.operators.axis import BLOCK_ROWS
-
-    single = partial.filter(F.col("fit_end") <= BLOCK_ROWS).select(*keys, "sums")
-    several = partial.filter(F.col("fit_end") > BLOCK_ROWS).select(*keys, F.posexplode("sums").alias("_i", "_s"))
+    single = partial.filter(F.col("fit_end") <= axis.BLOCK_ROWS).select(*keys, "sums")
+    several = partial.filter(F.col("fit_end") > axis.BLOCK_ROWS).select(*keys, F.posexplode("sums").alias("_i", "_s"))
     merged = (
         several.groupBy(*keys, "_i")
         .agg(F.sum("_s").alias("_s"))

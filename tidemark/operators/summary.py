@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.axis import Keys, as_list, attach
+from tidemark.operators.axis import Keys, as_list, attach, with_position
 from tidemark.operators.calendar import spacing
 
 QUANTILE_BUCKETS = 64
@@ -74,8 +74,6 @@ def exact_quantiles(df: DataFrame, fractions: Mapping[str, float], *, value: str
 
 def series_metadata(panel: DataFrame, value: str = "value", *, keys: Keys = "entity") -> DataFrame:
     """Rows, gaps, first and last known date and frequency of the known dates, per series."""
-    from tidemark.operators.axis import with_position
-
     keys = as_list(keys)
     facts = panel.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_observations"),

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.axis import BLOCK_ROWS, Keys, as_list, attach, block_of, windowed
+from tidemark.operators import axis
+from tidemark.operators.axis import Keys, as_list, attach, block_of, stage, windowed
 
 
 # Starting variance uses squared residuals of the first rows with fading weights.
@@ -166,8 +167,8 @@ def _carried(joined: DataFrame, keys: list[str], p: int, q: int) -> DataFrame:
         return pd.Series(out)
 
     # Series of one block (the usual case) start from the start value and need no chaining.
-    single = joined.filter(F.col("n") <= BLOCK_ROWS).withColumn("carried", F.lit(None).cast("array<array<double>>"))
-    several = joined.filter(F.col("n") > BLOCK_ROWS)
+    single = joined.filter(F.col("n") <= axis.BLOCK_ROWS).withColumn("carried", F.lit(None).cast("array<array<double>>"))
+    several = joined.filter(F.col("n") > axis.BLOCK_ROWS)
     summary = several.withColumn("_map", maps("entries", "variance", "grid")).select(*keys, "block", "start", "_map")
     tall = summary.select(*keys, "block", "start", F.posexplode("_map").alias("_k", "_map"))
     names = [f.name for f in joined.select(*keys).schema.fields]
@@ -203,8 +204,6 @@ def fit_volatility(panel: DataFrame, p: int = 1, q: int = 0, value: str = "value
     """
     if p < 1 or q < 0:
         raise ValueError("p must be at least 1 and q at least 0")
-    from tidemark.operators.axis import stage
-
     keys = as_list(keys)
     blocks = stage(_blocks(residual_rows(panel, p, value, keys=keys), keys, p), "blocks")
     whole = blocks.filter("block = 0").select(*keys)

@@ -16,6 +16,7 @@ from tidemark.operators import align, calendar, quality, splits, summary
 from tidemark.operators.axis import stage
 from tidemark.plans import panels as P
 from tidemark.plans.registry import query
+from tidemark.plans.rounding import rounded
 
 W = "WITH "
 STATE = "NATION_7"
@@ -422,14 +423,14 @@ def predictions_panel(spark, folder):
 
 @query(
     "stack_predictions",
-    W + PREDICTIONS + " SELECT entity, date, actual, round(predicted, 9) + 0.0 AS predicted, phase, model_key "
+    W + PREDICTIONS + " SELECT entity, date, actual, round(predicted + 1.37e-11::DOUBLE, 9) + 0.0 AS predicted, phase, model_key "
     "FROM predictions_panel",
 )
 def stack_predictions(spark, folder):
     both = stage(predictions_panel(spark, folder))
     parts = [both.filter(F.col("model_key") == key) for key in ("previous", "mean4")]
     stacked = align.stack(parts)
-    return stacked.withColumn("predicted", F.round("predicted", 9)).orderBy("entity", "date", "model_key")
+    return rounded(stacked, "predicted", digits=9).orderBy("entity", "date", "model_key")
 
 
 SPLIT2 = "CASE WHEN rn <= trunc(n * 0.8::DOUBLE) THEN 'train' ELSE 'test' END"
@@ -476,14 +477,14 @@ def order_grid(spark, folder):
 
 @query(
     "timeline_predictions",
-    W + PREDICTIONS + """ SELECT s.entity, s.date, s.value, round(p.predicted, 9) + 0.0 AS predicted
+    W + PREDICTIONS + """ SELECT s.entity, s.date, s.value, round(p.predicted + 1.37e-11::DOUBLE, 9) + 0.0 AS predicted
     FROM series s LEFT JOIN (SELECT * FROM predictions_panel WHERE model_key = 'mean4') p
       ON s.entity = p.entity AND s.date = p.date""",
 )
 def timeline_predictions(spark, folder):
     series = P.price_series(spark, folder).select("entity", "date", "value")
     predicted = predictions_panel(spark, folder).filter("model_key = 'mean4'")
-    return align.on_timeline(series, predicted).withColumn("predicted", F.round("predicted", 9))
+    return rounded(align.on_timeline(series, predicted), "predicted", digits=9)
 
 
 @query("split_fraction", W + P.SERIES + f" SELECT entity, date, n, rn, {SPLIT2} AS split FROM series")

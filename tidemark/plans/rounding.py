@@ -1,4 +1,8 @@
-"""Rounding of computed doubles, so that two engines can be compared."""
+"""Rounding of computed doubles, so that two engines can be compared.
+
+A small fraction of the last digit is added first: averages of short decimals often lie exactly
+halfway between two rounded values, where the last bit of a sum would decide.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _nudge(digits: int) -> float:
+    return 0.0137 * 10.0**-digits
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 8) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    return df.withColumns({c: F.round(F.col(c) + _nudge(digits), digits) for c in columns})
 
 
 def r(expression: str, name: str, digits: int = 8) -> str:
-    return f"round({expression}, {digits}) + 0.0 AS {name}"
+    return f"round(({expression}) + {_nudge(digits)!r}::DOUBLE, {digits}) + 0.0 AS {name}"

@@ -157,8 +157,8 @@ trended AS (SELECT *, CASE WHEN count(*) OVER f = 13 THEN
   FROM seg WINDOW f AS (PARTITION BY entity ORDER BY rn ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING)),
 phases AS (SELECT entity, (rn - 1) % 12 AS ph, avg(value / trend) AS mean FROM trended GROUP BY 1, 2),
 seasonal AS (SELECT entity, ph, mean / avg(mean) OVER (PARTITION BY entity) AS seasonal FROM phases)
-SELECT t.entity, date, round(trend, 7) AS trend, round(seasonal, 8) AS seasonal,
-  round(value / (trend * seasonal), 8) AS resid, 'ok' AS status
+""" + f"""SELECT t.entity, date, {r('trend', 'trend', 7)}, {r('seasonal', 'seasonal')},
+  {r('value / (trend * seasonal)', 'resid')}, 'ok' AS status
 FROM trended t JOIN seasonal s ON t.entity = s.entity AND (rn - 1) % 12 = ph"""
 
 

@@ -141,8 +141,7 @@ forms AS (SELECT d.entity, 'resid' AS form, d.rn - 1 AS rn, d.n - 1 AS n, value
     shares AS (SELECT entity, n // 2 AS q, abs(sum(p) OVER (PARTITION BY entity ORDER BY k) / sum(p) OVER (PARTITION BY entity)
       - k / (n // 2)) AS gap FROM power),
     b AS (SELECT entity, sqrt(max(q)) * max(gap) AS b FROM shares GROUP BY entity)
-    SELECT entity, {r('b', 'b')}, round(least(greatest(2 * list_sum(list_transform(range(1, 101),
-      lambda j: (-1.0::DOUBLE) ** (j - 1) * exp(-2 * b * b * j * j))), 0), 1), 8) + 0.0 AS p_value FROM b""",
+    SELECT entity, {r('b', 'b')}, {r('least(greatest(2 * list_sum(list_transform(range(1, 101), lambda j: (-1.0::DOUBLE) ** (j - 1) * exp(-2 * b * b * j * j))), 0), 1)', 'p_value')} FROM b""",
 )
 def bartlett_white_noise(spark, folder):
     rows = diagnostics.model_residuals(P.segment_series(spark, folder), Order(1, 0, 0))
@@ -154,8 +153,7 @@ def bartlett_white_noise(spark, folder):
     "ljung_box",
     W + P.SEGMENT_SERIES + SEG_AR1 + ACF.format(last=41) + f""",
     q AS (SELECT entity, any_value(n) * (any_value(n) + 2) * sum(r * r / (n - k)) AS q FROM acf GROUP BY entity)
-    SELECT entity, {r('q', 'q', 6)}, 40 AS df, round(exp(-q / 2) * (1 + list_sum(list_transform(range(1, 20),
-      lambda i: (q / 2) ** i / gamma(i + 1)))), 8) + 0.0 AS p_value FROM q""",
+    SELECT entity, {r('q', 'q', 6)}, 40 AS df, {r('exp(-q / 2) * (1 + list_sum(list_transform(range(1, 20), lambda i: (q / 2) ** i / gamma(i + 1))))', 'p_value')} FROM q""",
 )
 def ljung_box(spark, folder):
     rows = diagnostics.model_residuals(P.segment_series(spark, folder), Order(1, 0, 0))
