@@ -27,7 +27,12 @@ LONG_AR = 4
 
 @dataclass(frozen=True)
 class Order:
-    """(p, d, q) and (P, D, Q, s); a constant is estimated unless stated otherwise when d = D = 0."""
+    """(p, d, q) and (P, D, Q, s).
+
+    Unless stated otherwise, a constant is estimated when d = D = 0, and plain orders (no season,
+    no explicit choice of constant) must have a stationary autoregressive part; a fit that has
+    none gets status ``unstable`` and no forecasts.
+    """
 
     p: int
     d: int = 0
@@ -37,6 +42,13 @@ class Order:
     Q: int = 0
     s: int = 0
     const: bool | None = None
+    stationary: bool | None = None
+
+    @property
+    def must_be_stationary(self) -> bool:
+        if self.stationary is not None:
+            return self.stationary
+        return self.s == 0 and self.const is None
 
     @property
     def has_const(self) -> bool:
@@ -176,6 +188,40 @@ def design(panel: DataFrame, orders: Sequence[tuple[int, Order]], *, keys: list[
     return out
 
 
+def stationary(phi: np.ndarray) -> np.ndarray:
+    """Whether each row of AR coefficients (lags 1..p) has all roots inside the unit circle.
+
+    The order is stepped down one by one; all partial autocorrelations must be below 1 in size.
+    """
+    phi = phi.copy()
+    fine = np.ones(len(phi), dtype=bool)
+    while phi.shape[1]:
+        last = phi[:, -1]
+        fine &= np.abs(last) < 1
+        scale = np.where(fine, 1 - last**2, 1.0)
+        phi = (phi[:, :-1] + last[:, None] * phi[:, -2::-1]) / scale[:, None]
+    return fine
+
+
+def _stationarity(orders: dict[int, Order]):
+    @F.pandas_udf("boolean")
+    def check(index: pd.Series, coef: pd.Series) -> pd.Series:
+        out = pd.Series(True, index=index.index)
+        for number, rows in index.groupby(index).groups.items():
+            order = orders[int(number)]
+            known = [i for i in rows if coef[i] is not None]
+            if not order.must_be_stationary or not order.ar_lags or not known:
+                continue
+            beta = np.stack(coef[known].to_list()).astype(float)
+            phi = np.zeros((len(known), max(order.ar_lags)))
+            at = int(order.has_const)
+            phi[:, np.array(order.ar_lags) - 1] = beta[:, at: at + len(order.ar_lags)]
+            out[known] = stationary(phi)
+        return out
+
+    return check
+
+
 def _labels(index: int, order: Order) -> Column:
     return F.struct(
         F.lit(index).alias("order_index"),
@@ -226,9 +272,11 @@ def fit_design(made: Design, extra_parameters: int = 0) -> DataFrame:
         "spec", F.explode(F.filter(F.array(*specs), lambda s: s["start"] == F.col("start")))
     ).select(*sums.columns, "spec.label.*", "spec.pick", "spec.need")
     solved = solve(spread, pick=F.col("pick"))
+    solved = solved.withColumn("_stationary", _stationarity(dict(made.orders))("order_index", "coef"))
     status = (
         F.when(F.col("fit_end") < F.col("need"), F.lit("train too small"))
         .when(F.col("fit") != "ok", F.lit("skipped"))
+        .when(~F.col("_stationary"), F.lit("unstable"))
         .otherwise(F.lit("ok"))
     )
     aic, bic = information_criteria(F.col("sse"), F.col("nobs"), F.size("coef") + extra_parameters)
@@ -236,7 +284,7 @@ def fit_design(made: Design, extra_parameters: int = 0) -> DataFrame:
     return (
         solved.withColumn("status", status)
         .withColumns({"aic": F.when(fine, aic), "bic": F.when(fine, bic), "coef": F.when(fine, F.col("coef"))})
-        .drop("fit", "pick", "need", "start")
+        .drop("fit", "pick", "need", "start", "_stationary")
     )
 
 

@@ -88,7 +88,7 @@ def acf(panel: DataFrame, lags: int, value: str = "value", *, keys: Keys = "enti
 
 def pacf(panel: DataFrame, lags: int, value: str = "value", *, keys: Keys = "entity") -> DataFrame:
     """Partial autocorrelations: the last coefficient of each autoregression of 1..lags."""
-    orders = [Order(k) for k in range(1, lags + 1)]
+    orders = [Order(k, stationary=False) for k in range(1, lags + 1)]
     done = arima.fit(panel, orders, splits.whole_series(), keys=keys, value=value)
     fitted = done.fits.filter("status = 'ok'")
     band = 1.959963984540054 / F.sqrt("n")

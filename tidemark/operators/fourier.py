@@ -20,6 +20,8 @@ YEAR_DAYS, YEAR_ORDER, YEAR_SPAN = 365.25, 10, 730
 WEEK_DAYS, WEEK_ORDER, WEEK_SPAN = 7.0, 3, 14
 LINE_SCALE, CHANGE_SCALE, SEASON_SCALE = 5.0, 0.05, 10.0
 NOISE = 0.1
+# Systems solved together; bounds the memory of a task.
+SOLVE_ROWS = 512
 
 
 def _season(day: np.ndarray, period: float, order: int) -> list[np.ndarray]:
@@ -110,13 +112,16 @@ def _solver(changepoints: int):
 
     @F.pandas_udf("array<double>")
     def solver(sums: pd.Series) -> pd.Series:
-        flat = np.stack(sums.to_list())
-        a = np.zeros((len(flat), width, width))
-        a[:, upper[0], upper[1]] = flat[:, : len(upper[0])]
-        a[:, upper[1], upper[0]] = a[:, upper[0], upper[1]]
-        b = flat[:, len(upper[0]): len(upper[0]) + width]
-        coef, fine = solve_batch(a + penalty, b)
-        return pd.Series([c.tolist() if ok else None for c, ok in zip(coef, fine)])
+        out = []
+        for begin in range(0, len(sums), SOLVE_ROWS):
+            flat = np.stack(sums.iloc[begin: begin + SOLVE_ROWS].to_list())
+            a = np.zeros((len(flat), width, width))
+            a[:, upper[0], upper[1]] = flat[:, : len(upper[0])]
+            a[:, upper[1], upper[0]] = a[:, upper[0], upper[1]]
+            b = flat[:, len(upper[0]): len(upper[0]) + width]
+            coef, fine = solve_batch(a + penalty, b)
+            out += [c.tolist() if ok else None for c, ok in zip(coef, fine)]
+        return pd.Series(out, dtype=object)
 
     return solver
 

@@ -10,21 +10,24 @@ from tidemark.operators.arima import Order
 from tidemark.operators.axis import stage
 from tidemark.plans import panels as P
 
+from tidemark.plans.describe import report_sql
 from tidemark.plans.registry import query
-from tidemark.plans.rounding import r, rounded
+from tidemark.plans.rounding import r, rounded, sig, significant
 from tidemark.plans.sqlmodels import (
     HOLDOUT,
     METRIC_COLUMNS,
     PHASES,
     aic,
-    ar_ctes,
     bic,
     lag_ctes,
+    order_ctes,
     phases_cte,
     solve_ctes,
 )
 
 W = "WITH "
+SCORED = [*METRICS, "aic", "bic"]
+RAW_METRICS = ", ".join(f"{e} AS {m}" for m, e in report_sql().items())
 FUTURE4 = [("future", "n", "n + 4")]
 
 
@@ -39,8 +42,9 @@ def evaluated(series, order: Order, phases=None):
     return rounded(joined.select("entity", "aic", "bic", "train_rows", "test_rows", *METRICS), "aic", "bic", *METRICS, digits=6)
 
 
-def evaluated_sql(source: str, relation: str, lags, const, weights, k: int) -> str:
-    return W + source + phases_cte(relation, HOLDOUT) + ar_ctes(lags, const, weights) + f""",
+def evaluated_sql(source: str, relation: str, order: Order) -> str:
+    k = int(order.has_const) + len(order.ar_lags) + len(order.ma_lags)
+    return W + source + phases_cte(relation, HOLDOUT) + order_ctes(order, "ar") + f""",
 scored AS (SELECT p.entity, p.predicted, s.value AS actual FROM ar_path p JOIN {relation} s
   ON p.entity = s.entity AND p.rn = s.rn),
 report AS (SELECT entity, count(*) AS test_rows, {METRIC_COLUMNS} FROM scored GROUP BY entity)
@@ -48,17 +52,17 @@ SELECT entity, {r(aic('sse', 'nobs', str(k)), 'aic', 6)}, {r(bic('sse', 'nobs',
   fit_end AS train_rows, test_rows, r2, mse, rmse, mae, mape, smape FROM ar_fit JOIN report USING (entity)"""
 
 
-@query("arima_evaluate", evaluated_sql(P.FILLED, "filled", [1, 2], True, {0: 1}, 3))
+@query("arima_evaluate", evaluated_sql(P.FILLED, "filled", Order(2, 0, 0)))
 def arima_evaluate(spark, folder):
     return evaluated(P.filled_series(spark, folder), Order(2, 0, 0))
 
 
-@query("arima_evaluate_differenced", evaluated_sql(P.FILLED, "filled", [1, 2], False, {0: 1, 1: -1}, 2))
+@query("arima_evaluate_differenced", evaluated_sql(P.FILLED, "filled", Order(2, 1, 0)))
 def arima_evaluate_differenced(spark, folder):
     return evaluated(P.filled_series(spark, folder), Order(2, 1, 0))
 
 
-@query("arima_evaluate_moving_average")
+@query("arima_evaluate_moving_average", evaluated_sql(P.FILLED, "filled", Order(1, 0, 1)))
 def arima_evaluate_moving_average(spark, folder):
     return evaluated(P.filled_series(spark, folder), Order(1, 0, 1))
 
@@ -73,7 +77,7 @@ def dated_future(spark_series, forecasts):
 
 @query(
     "arima_forecast",
-    W + P.FILLED + phases_cte("filled", FUTURE4) + ar_ctes([1, 2], True, {0: 1}) + f"""
+    W + P.FILLED + phases_cte("filled", FUTURE4) + order_ctes(Order(2, 0, 0), "ar") + f"""
     SELECT p.entity, step::INTEGER AS step, last_day(s.date + to_months((3 * step)::INTEGER)) AS date,
       {r('predicted', 'predicted', 6)}
     FROM ar_path p JOIN filled s ON p.entity = s.entity AND s.rn = s.n""",
@@ -100,71 +104,79 @@ def ranked_grid(series, orders, metric="rmse"):
         "entity", "place", "order_index", text.alias("order"), seasonal.alias("seasonal_order"), *METRICS, "aic", "bic",
         F.col("fit_end").alias("train_rows"), F.col("scored_rows").alias("test_rows"),
     )
-    return rounded(board, *METRICS, "aic", "bic", digits=6)
-
-
-@query("arima_grid")
-def arima_grid(spark, folder):
-    return ranked_grid(P.filled_series(spark, folder), arima.orders_of(range(4), range(2), range(4)))
+    return significant(board, *METRICS, "aic", "bic")
 
 
 AR_GRID = [Order(p, 0, 0) for p in range(1, 4)]
+ARIMA_GRID = arima.orders_of(range(4), range(2), range(4))
+ARMA_GRID = arima.orders_of(range(4), [0], range(4))
 
 
-def _grid_sql() -> str:
-    text = W + P.FILLED + phases_cte("filled", HOLDOUT)
+def _grid_sql(source: str, relation: str, orders: list[Order]) -> str:
+    text = W + source + phases_cte(relation, HOLDOUT)
     parts = []
-    for index, order in enumerate(AR_GRID, start=1):
-        text += ar_ctes(order.ar_lags, True, {0: 1}, name=f"g{index}")
+    for index, order in enumerate(orders, start=1):
+        text += order_ctes(order, f"g{index}")
+        k = int(order.has_const) + len(order.ar_lags) + len(order.ma_lags)
         parts.append(
-            f"""SELECT f.entity, {index} AS order_index, '({order.p}, 0, 0)' AS "order", count(*) AS test_rows,
-            any_value(f.fit_end) AS train_rows, {METRIC_COLUMNS},
-            {r(aic('any_value(sse)', 'any_value(nobs)', str(order.p + 1)), 'aic', 6)},
-            {r(bic('any_value(sse)', 'any_value(nobs)', str(order.p + 1)), 'bic', 6)}
-            FROM (SELECT p.entity, p.predicted, s.value AS actual FROM g{index}_path p JOIN filled s
+            f"""SELECT f.entity, {index} AS order_index, '({order.p}, {order.d}, {order.q})' AS "order", count(*) AS test_rows,
+            any_value(f.fit_end) AS train_rows, {RAW_METRICS},
+            {aic('any_value(sse)', 'any_value(nobs)', str(k))} AS aic, {bic('any_value(sse)', 'any_value(nobs)', str(k))} AS bic
+            FROM (SELECT p.entity, p.predicted, s.value AS actual FROM g{index}_path p JOIN {relation} s
               ON p.entity = s.entity AND p.rn = s.rn) JOIN g{index}_fit f USING (entity) GROUP BY f.entity"""
         )
-    return text + f""", board AS ({' UNION ALL '.join(parts)})
-    SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY rmse, order_index) AS place, order_index, "order",
-      NULL::VARCHAR AS seasonal_order, r2, mse, rmse, mae, mape, smape, aic, bic, train_rows, test_rows FROM board"""
+    return text + f""", board AS ({' UNION ALL '.join(parts)}),
+    placed AS (SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY rmse, order_index) AS place, order_index,
+      "order", NULL::VARCHAR AS seasonal_order, r2, mse, rmse, mae, mape, smape, aic, bic, train_rows, test_rows FROM board)"""
 
 
-@query("grid_leaderboard", _grid_sql())
+@query("arima_grid", _grid_sql(P.FILLED, "filled", ARIMA_GRID) + " " + sig("placed", SCORED))
+def arima_grid(spark, folder):
+    return ranked_grid(P.filled_series(spark, folder), ARIMA_GRID)
+
+
+@query("grid_leaderboard", _grid_sql(P.FILLED, "filled", AR_GRID) + " " + sig("placed", SCORED))
 def grid_leaderboard(spark, folder):
     return ranked_grid(P.filled_series(spark, folder), AR_GRID)
 
 
 @query(
     "grid_rank",
-    _grid_sql().replace("SELECT entity, row_number()", 'SELECT entity, place, "order", rmse FROM (SELECT entity, row_number()')
-    + ") WHERE place = 1",
+    _grid_sql(P.FILLED, "filled", AR_GRID)
+    + ' SELECT entity, place, "order", rmse FROM (' + sig("placed", ["rmse"]) + ") WHERE place = 1",
 )
 def grid_rank(spark, folder):
     ranked = ranked_grid(P.filled_series(spark, folder), AR_GRID)
     return ranked.filter("place = 1").select("entity", "place", "order", "rmse")
 
 
-@query("arma_evaluate", evaluated_sql(P.SEGMENT_SERIES, "seg", [1, 2, 3], True, {0: 1}, 4))
+@query("arma_evaluate", evaluated_sql(P.SEGMENT_SERIES, "seg", Order(3, 0, 0)))
 def arma_evaluate(spark, folder):
     return evaluated(P.segment_series(spark, folder), Order(3, 0, 0))
 
 
-@query("arma_grid")
+@query("arma_grid", _grid_sql(P.SEGMENT_SERIES, "seg", ARMA_GRID) + " " + sig("placed", SCORED))
 def arma_grid(spark, folder):
-    return ranked_grid(P.segment_series(spark, folder), arima.orders_of(range(4), [0], range(4)))
+    return ranked_grid(P.segment_series(spark, folder), ARMA_GRID)
 
 
-@query("sarima_evaluate", evaluated_sql(P.SEGMENT_SERIES, "seg", [1, 12], False, {0: 1}, 2))
+@query("sarima_evaluate", evaluated_sql(P.SEGMENT_SERIES, "seg", Order(1, 0, 0, 1, 0, 0, 12)))
 def sarima_evaluate(spark, folder):
     return evaluated(P.segment_series(spark, folder), Order(1, 0, 0, 1, 0, 0, 12))
 
 
-@query("sarima_evaluate_differenced", evaluated_sql(P.FILLED, "filled", [1], False, {0: 1, 4: -1}, 1))
+@query("sarima_evaluate_differenced", evaluated_sql(P.FILLED, "filled", Order(1, 0, 0, 0, 1, 0, 4)))
 def sarima_evaluate_differenced(spark, folder):
     return evaluated(P.filled_series(spark, folder), Order(1, 0, 0, 0, 1, 0, 4))
 
 
-@query("sarima_forecast")
+@query(
+    "sarima_forecast",
+    W + P.FILLED + phases_cte("filled", FUTURE4) + order_ctes(Order(1, 0, 1, 1, 0, 1, 4), "ar") + f"""
+    SELECT p.entity, step::INTEGER AS step, last_day(s.date + to_months((3 * step)::INTEGER)) AS date,
+      {r('predicted', 'predicted', 6)}
+    FROM ar_path p JOIN filled s ON p.entity = s.entity AND s.rn = s.n""",
+)
 def sarima_forecast(spark, folder):
     from tidemark.plans.arena import by_season
 
@@ -180,13 +192,14 @@ def sarima_forecast(spark, folder):
     return rounded(dated_future(series, forecasts), "predicted", digits=6)
 
 
-EXOG_AR = (
+def _exog_ctes(order: Order) -> str:
+    return (
     phases_cte("filled", HOLDOUT)
     + ", exog_train AS (SELECT * FROM spans WHERE rn <= fit_end)"
     + solve_ctes("beta", "exog_train", ["entity", "phase"], ["pi_t"], "value")
     + """, rest AS (SELECT s.entity, s.phase, s.date, s.rn, s.n, s.fit_end, s.score_end, value AS actual, pi_t * c0 AS explained,
       value - pi_t * c0 AS value FROM spans s JOIN beta b ON s.entity = b.entity AND s.phase = b.phase)"""
-    + ar_ctes([1], True, {0: 1}, spans="rest")
+    + order_ctes(order, "ar", spans="rest")
     + """, full_path AS (SELECT r.entity, r.date, r.actual, p.predicted + r.explained AS predicted, p.step
       FROM ar_path p JOIN rest r ON p.entity = r.entity AND p.phase = r.phase AND p.rn = r.rn)"""
 )
@@ -194,7 +207,7 @@ EXOG_AR = (
 
 @query(
     "arimax_evaluate",
-    W + P.FILLED + EXOG_AR + f" SELECT entity, date, step, actual, {r('predicted', 'predicted', 6)} FROM full_path",
+    W + P.FILLED + _exog_ctes(Order(1, const=True)) + f" SELECT entity, date, step, actual, {r('predicted', 'predicted', 6)} FROM full_path",
 )
 def arimax_evaluate(spark, folder):
     series = P.filled_series(spark, folder, "pi_t")
@@ -202,7 +215,11 @@ def arimax_evaluate(spark, folder):
     return rounded(predictions.select("entity", "date", "step", "actual", "predicted"), "predicted", "actual", digits=6)
 
 
-@query("arimax_evaluate_moving_average")
+@query(
+    "arimax_evaluate_moving_average",
+    W + P.FILLED + _exog_ctes(Order(1, 0, 1, const=False))
+    + f" SELECT entity, date, step, actual, {r('predicted', 'predicted', 6)} FROM full_path",
+)
 def arimax_evaluate_moving_average(spark, folder):
     series = P.filled_series(spark, folder, "pi_t")
     _, predictions = arima.fit_with_exog(series, Order(1, 0, 1, const=False), ["pi_t"], splits.holdout(0.2))
@@ -278,13 +295,13 @@ def window_forecast(spark, folder):
 
 @query(
     "information_criteria",
-    W + P.FILLED + phases_cte("filled", PHASES) + ar_ctes([1, 2], True, {0: 1}) + f"""
+    W + P.FILLED + phases_cte("filled", PHASES) + order_ctes(Order(2, 0, 0), "ar") + f"""
     SELECT entity, phase, nobs, {r('sse', 'sse', 6)}, {r(aic('sse', 'nobs', '3'), 'aic', 6)},
       {r(bic('sse', 'nobs', '3'), 'bic', 6)} FROM ar_fit""",
 )
 def information_criteria(spark, folder):
     done = arima.fit(P.filled_series(spark, folder), [Order(2, 0, 0)], splits.two_phases(0.6, 0.2, 0.2))
-    return rounded(done.fits.select("entity", "phase", "nobs", "sse", "aic", "bic"), "sse", "aic", "bic", digits=6)
+    return rounded(done.fits.filter("status = 'ok'").select("entity", "phase", "nobs", "sse", "aic", "bic"), "sse", "aic", "bic", digits=6)
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scores import METRICS
 from tidemark.operators import scoring, splits, trees, windowmodels
+from tidemark.operators.arima import Order
 from tidemark.operators.axis import shared_folder
 from tidemark.operators.lagmodels import after_lags
 from tidemark.plans import arena
@@ -14,7 +15,7 @@ from tidemark.plans.arena import SCORE_COLUMNS, ArenaConfig
 from tidemark.plans.describe import report_sql
 from tidemark.plans.registry import query
 from tidemark.plans.rounding import r, rounded
-from tidemark.plans.sqlmodels import PHASES, ar_ctes, lag_ctes, phases_cte
+from tidemark.plans.sqlmodels import PHASES, lag_ctes, order_ctes, phases_cte
 
 W = "WITH "
 LINEAR = ["arima", "arma", "linear_regression", "arimax"]
@@ -23,7 +24,7 @@ LINEAR_CONFIG = ArenaConfig(arima_order=(2, 0, 0), arma_order=(1, 0))
 
 def _board_sql() -> str:
     text = W + P.FILLED + phases_cte("filled", PHASES)
-    text += ar_ctes([1, 2], True, {0: 1}, name="two") + ar_ctes([1], True, {0: 1}, name="one") + lag_ctes(4)
+    text += order_ctes(Order(2, 0, 0), "two") + order_ctes(Order(1, 0, 0), "one") + lag_ctes(4)
     paths = [
         f"SELECT p.entity, p.phase, '{key}' AS model_key, s.value AS actual, p.predicted FROM {name}_path p "
         "JOIN filled s ON p.entity = s.entity AND p.rn = s.rn"

@@ -178,11 +178,37 @@ def insample_outsample_tag(spark, folder):
     return features.tag_last(P.price_series(spark, folder), 4).select("entity", "date", "part")
 
 
-@query("hp_filter")
+SMOOTH = P.SEGMENT_SERIES + """,
+lines AS (SELECT entity, rn, n, value,
+    CASE WHEN rn IN (1, n) THEN 1601 WHEN rn IN (2, n - 1) THEN 8001 ELSE 9601 END::DOUBLE AS main,
+    CASE WHEN rn = n THEN 0 WHEN rn IN (1, n - 1) THEN -3200 ELSE -6400 END::DOUBLE AS near,
+    CASE WHEN rn > n - 2 THEN 0 ELSE 1600 END::DOUBLE AS far FROM seg),
+down AS (
+  WITH RECURSIVE sweep(entity, rn, n, d1, l1, m1, z1, d2, l2, m2, z2) AS (
+    SELECT entity, rn, n, main, near / main, far / main, value, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE
+      FROM lines WHERE rn = 1
+    UNION ALL
+    SELECT x.entity, x.rn, x.n, main - d1 * l1 * l1 - d2 * m2 * m2,
+      (near - d1 * l1 * m1) / (main - d1 * l1 * l1 - d2 * m2 * m2),
+      far / (main - d1 * l1 * l1 - d2 * m2 * m2), value - l1 * z1 - m2 * z2, d1, l1, m1, z1
+    FROM sweep s JOIN lines x ON x.entity = s.entity AND x.rn = s.rn + 1)
+  SELECT entity, rn, n, d1 AS d, l1 AS l, m1 AS m, z1 AS z FROM sweep),
+up AS (
+  WITH RECURSIVE sweep(entity, rn, t1, t2) AS (
+    SELECT entity, rn, z / d, 0::DOUBLE FROM down WHERE rn = n
+    UNION ALL
+    SELECT x.entity, x.rn, z / d - l * t1 - m * t2, t1 FROM sweep s JOIN down x ON x.entity = s.entity AND x.rn = s.rn - 1)
+  SELECT entity, rn, t1 AS trend FROM sweep)"""
+
+
+@query(
+    "hp_filter",
+    W + SMOOTH + f""" SELECT s.entity, s.date, {r('trend', 'trend', 6)}, {r('value - trend', 'cycle', 6)}
+    FROM seg s JOIN up u ON s.entity = u.entity AND s.rn = u.rn""",
+)
 def hp_filter(spark, folder):
-    return rounded(filters.hp_filter(P.segment_series(spark, folder), 1600.0), "trend", "cycle", digits=6).select(
-        "entity", "date", "trend", "cycle"
-    )
+    smoothed = filters.hp_filter(P.segment_series(spark, folder), 1600.0)
+    return rounded(smoothed, "trend", "cycle", digits=6).select("entity", "date", "trend", "cycle")
 
 
 RECURSIVE = P.FILLED + f""",

@@ -43,12 +43,27 @@ def phases_cte(source: str, phases, name: str = "spans") -> str:
     return f",\n{name} AS ({' UNION ALL '.join(parts)})"
 
 
+LONG_AR = 4
+
+
+def stationary_sql(phi: list[str]) -> str:
+    """Condition that autoregressive coefficients of lags 1..p are stationary (stepping the order down)."""
+    conditions = []
+    while phi:
+        last = phi[-1]
+        conditions.append(f"abs({last}) < 1")
+        phi = [f"(({a}) + ({last}) * ({b})) / (1 - ({last}) ** 2)" for a, b in zip(phi[:-1], phi[-2::-1])]
+    return "(" + " AND ".join(conditions or ["true"]) + ")"
+
+
 def ar_ctes(lags: list[int], const: bool, weights: dict[int, int], spans: str = "spans", value: str = "value",
-            name: str = "ar") -> str:
+            name: str = "ar", ma: list[int] | None = None, stable: bool = False) -> str:
     """Autoregression of the differenced value by least squares, and its forecasts.
 
+    With ``ma`` lags, residuals of an autoregression of LONG_AR lags are regressors too.
     Gives ``<name>_design`` (w0, x0..), ``<name>_fit`` (c0.., nobs, sse) and ``<name>_path``.
     """
+    ma = ma or []
     lost = max(weights)
     depth = max(max(lags, default=0) + lost, 1)
     over = "OVER (PARTITION BY entity, phase ORDER BY rn)"
@@ -56,42 +71,75 @@ def ar_ctes(lags: list[int], const: bool, weights: dict[int, int], spans: str =
     def w(k: int) -> str:
         return " + ".join(f"({c}) * lag({value}, {k + lag}) {over}" for lag, c in weights.items())
 
-    xs = (["1::DOUBLE"] if const else []) + [f"w{k}" for k in lags]
-    columns = ", ".join(f"{w(k)} AS w{k}" for k in [0, *lags])
+    ones = ["1::DOUBLE"] if const else []
+    needed = sorted({0, *lags, *(range(1, LONG_AR + 1) if ma else [])})
+    columns = ", ".join(f"{w(k)} AS w{k}" for k in needed)
     levels = ", ".join(f"lag({value}, {j}) {over} AS y{j}" for j in range(depth))
-    text = f",\n{name}_design AS (SELECT *, {columns}, {levels} FROM {spans})"
-    start = lost + max(lags, default=0)
+    text = f",\n{name}_base AS (SELECT *, {columns}, {levels} FROM {spans})"
+    if ma:
+        q = max(ma)
+        long_xs = ones + [f"w{k}" for k in range(1, LONG_AR + 1)]
+        text += f",\n{name}_lt AS (SELECT * FROM {name}_base WHERE rn <= fit_end AND rn > {lost + LONG_AR})"
+        text += solve_ctes(f"{name}_long", f"{name}_lt", ["entity", "phase"], long_xs, "w0")
+        guess = " + ".join(f"c{i} * ({x})" for i, x in enumerate(long_xs))
+        shocks = ", ".join(f"lag(e, {k}) {over} AS e{k}" for k in range(0, q + 1))
+        text += f""",
+{name}_shock AS (SELECT b.*, CASE WHEN rn > {lost + LONG_AR} THEN w0 - ({guess}) END AS e FROM {name}_base b
+  JOIN {name}_long l ON b.entity = l.entity AND b.phase = l.phase),
+{name}_design AS (SELECT *, {shocks} FROM {name}_shock)"""
+        start = lost + max(max(lags, default=0), LONG_AR + q)
+    else:
+        q = 0
+        text += f",\n{name}_design AS (SELECT * FROM {name}_base)"
+        start = lost + max(lags, default=0)
+    xs = ones + [f"w{k}" for k in lags] + [f"e{k}" for k in ma]
     text += f",\n{name}_train AS (SELECT * FROM {name}_design WHERE rn <= fit_end AND rn > {start})"
     carried = ", max(n) AS n, max(fit_end) AS fit_end, max(score_end) AS score_end"
-    text += solve_ctes(f"{name}_coef", f"{name}_train", ["entity", "phase"], xs, "w0", carried)
+    if xs:
+        text += solve_ctes(f"{name}_coef", f"{name}_train", ["entity", "phase"], xs, "w0", carried)
+    else:
+        text += f",\n{name}_coef AS (SELECT entity, phase, count(*) AS nobs{carried} FROM {name}_train GROUP BY ALL)"
     guess = " + ".join(f"c{i} * ({x})" for i, x in enumerate(xs)) or "0"
     text += f""",
 {name}_sse AS (SELECT entity, phase, sum((w0 - ({guess})) ** 2) AS sse FROM {name}_train
   JOIN {name}_coef USING (entity, phase) GROUP BY ALL),
-{name}_fit AS (SELECT * FROM {name}_coef JOIN {name}_sse USING (entity, phase))"""
+{name}_fit AS (SELECT * FROM {name}_coef JOIN {name}_sse USING (entity, phase) WHERE nobs > {len(xs)}
+  AND {stationary_sql([f"c{int(const) + i}" for i in range(len(lags))]) if stable else "true"})"""
     at = int(const)
-    level = {j: [] for j in range(1, depth + 1)}
+    level: dict[int, list[str]] = {j: [] for j in range(1, depth + 1)}
     for lag, c in weights.items():
         if lag:
             level[lag].append(f"({-c})")
     for i, k in enumerate(lags):
         for lag, c in weights.items():
             level[k + lag].append(f"({c}) * c{at + i}")
-    nxt = " + ".join([("c0" if const else "0::DOUBLE"), *[f"({' + '.join(v)}) * y{j - 1}" for j, v in level.items() if v]])
-    state = ", ".join(f"y{j}" for j in range(depth))
-    shifted = ", ".join([nxt, *[f"y{j}" for j in range(depth - 1)]])
+    terms = ["c0" if const else "0::DOUBLE"]
+    terms += [f"({' + '.join(v)}) * y{j - 1}" for j, v in level.items() if v]
+    terms += [f"c{at + len(lags) + i} * e{k - 1}" for i, k in enumerate(ma)]
+    ys, es = [f"y{j}" for j in range(depth)], [f"e{k}" for k in range(q)]
     cs = "".join(f", c{i}" for i in range(len(xs)))
+    state = ", ".join([*ys, *es])
+    shifted = ", ".join([" + ".join(terms), *ys[:-1], *(["0::DOUBLE", *es[:-1]] if q else [])])
     text += f""",
 {name}_path AS (
   WITH RECURSIVE walk(entity, phase, step, fit_end, score_end{cs}, {state}) AS (
     SELECT d.entity, d.phase, 0::BIGINT, d.fit_end, d.score_end{cs}, {state} FROM {name}_design d
-      JOIN {name}_coef f ON d.entity = f.entity AND d.phase = f.phase WHERE d.rn = d.fit_end
+      JOIN {name}_fit f ON d.entity = f.entity AND d.phase = f.phase WHERE d.rn = d.fit_end
     UNION ALL
     SELECT entity, phase, step + 1, fit_end, score_end{cs}, {shifted} FROM walk WHERE fit_end + step < score_end)
   SELECT entity, phase, step, fit_end + step AS rn, y0 AS predicted FROM walk WHERE step > 0)"""
     return text
 
 
+def order_ctes(order, name: str, spans: str = "spans") -> str:
+    """The same for an order given by its numbers."""
+    from tidemark.operators.features import difference_weights
+
+    weights = difference_weights(order.d, order.D, order.s)
+    return ar_ctes(order.ar_lags, order.has_const, weights, spans=spans, name=name, ma=order.ma_lags,
+                   stable=order.must_be_stationary)
+
+
 def lag_ctes(lags: int, name: str = "lagged", spans: str = "spans") -> str:
     """One-step regression on lags with a constant: ``<name>_fit`` and ``<name>_path``."""
     over = "OVER (PARTITION BY entity, phase ORDER BY rn)"

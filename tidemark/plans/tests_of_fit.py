@@ -13,7 +13,7 @@ from tidemark.plans import panels as P
 from tidemark.plans.describe import report_sql
 from tidemark.plans.registry import query
 from tidemark.plans.rounding import r, rounded
-from tidemark.plans.sqlmodels import ar_ctes, phases_cte
+from tidemark.plans.sqlmodels import aic, ar_ctes, bic, order_ctes, phases_cte
 
 W = "WITH "
 ALL = [("future", "n", "n")]
@@ -92,11 +92,28 @@ def pacf(spark, folder):
     return rounded(diagnostics.pacf(P.filled_series(spark, folder), 4), "pacf", "band")
 
 
-@query("arma_ic_grid")
+IC_GRID = [*arima.orders_of(range(4), [0], range(4)), Order(2, 1, 3), Order(4, 1, 1)]
+
+
+def _ic_sql() -> str:
+    text = W + P.SEGMENT_SERIES + phases_cte("seg", ALL)
+    parts = []
+    for index, order in enumerate(IC_GRID, start=1):
+        text += order_ctes(order, f"g{index}")
+        k = str(int(order.has_const) + len(order.ar_lags) + len(order.ma_lags))
+        parts.append(
+            f"""SELECT entity, {index} AS order_index, '({order.p}, {order.d}, {order.q})' AS "order", nobs,
+            {r(aic('sse', 'nobs', k), 'aic', 6)}, {r(bic('sse', 'nobs', k), 'bic', 6)} FROM g{index}_fit"""
+        )
+    return text + f""", board AS ({' UNION ALL '.join(parts)})
+    SELECT *, row_number() OVER (PARTITION BY entity ORDER BY aic, order_index) AS aic_place,
+      row_number() OVER (PARTITION BY entity ORDER BY bic, order_index) AS bic_place FROM board"""
+
+
+@query("arma_ic_grid", _ic_sql())
 def arma_ic_grid(spark, folder):
     series = P.segment_series(spark, folder)
-    orders = [*arima.orders_of(range(4), [0], range(4)), Order(2, 1, 3), Order(4, 1, 1)]
-    fits = arima.fit(series, orders, splits.whole_series()).fits.filter("status = 'ok'")
+    fits = arima.fit(series, IC_GRID, splits.whole_series()).fits.filter("status = 'ok'")
     ranked = scoring.grid_rank(fits, "aic").withColumnRenamed("place", "aic_place")
     ranked = scoring.grid_rank(ranked, "bic").withColumnRenamed("place", "bic_place")
     text = scoring.order_text("p", "d", "q").alias("order")
@@ -104,7 +121,7 @@ def arma_ic_grid(spark, folder):
     return rounded(shown, "aic", "bic", digits=6)
 
 
-AR2 = phases_cte("filled", ALL) + ar_ctes([1, 2], True, {0: 1}) + """,
+AR2 = phases_cte("filled", ALL) + order_ctes(Order(2, 0, 0), "ar") + """,
 resid AS (SELECT d.entity, d.date, d.rn - 2 AS rn, d.n - 2 AS n, value AS actual, c0 + c1 * w1 + c2 * w2 AS fitted,
   value - (c0 + c1 * w1 + c2 * w2) AS value FROM ar_design d JOIN ar_fit f ON d.entity = f.entity WHERE d.rn > 2)"""
 
@@ -118,15 +135,38 @@ def residuals(spark, folder):
     return rounded(rows.select("entity", "date", "fitted", "residual"), "fitted", "residual", digits=6)
 
 
-@query("root_stability")
+ROOT_ORDERS = [Order(1, 0, 1), Order(2, 1, 1), Order(2, 0, 0)]
+
+
+def _root(a: str, b: str) -> str:
+    """Larger modulus of the roots of z^2 = a z + b."""
+    return (f"CASE WHEN ({a}) ** 2 + 4 * ({b}) < 0 THEN sqrt(-({b})) "
+            f"ELSE (abs({a}) + sqrt(greatest(({a}) ** 2 + 4 * ({b}), 0))) / 2 END")
+
+
+def _roots_sql() -> str:
+    text = W + P.SEGMENT_SERIES + phases_cte("seg", ALL)
+    parts = []
+    for index, order in enumerate(ROOT_ORDERS, start=1):
+        text += order_ctes(order, f"g{index}")
+        at = int(order.has_const)
+        ar = f"abs(c{at})" if order.p == 1 else _root(f"c{at}", f"c{at + 1}")
+        ma = f"abs(c{at + order.p})" if order.q else "0::DOUBLE"
+        parts.append(
+            f"SELECT entity, {order.p} AS p, {order.d} AS d, {order.q} AS q, {ar} AS ar, {ma} AS ma FROM g{index}_fit"
+        )
+    return text + f""", roots AS ({' UNION ALL '.join(parts)})
+    SELECT entity, p, d, q, {r('ar', 'ar_modulus', 6)}, {r('ma', 'ma_modulus', 6)}, ar < 1 AND ma < 1 AS stable FROM roots"""
+
+
+@query("root_stability", _roots_sql())
 def root_stability(spark, folder):
-    orders = [Order(1, 0, 3), Order(2, 1, 3), Order(4, 1, 1)]
-    fits = arima.fit(P.segment_series(spark, folder), orders, splits.whole_series()).fits
-    checked = diagnostics.root_stability(fits, orders).select("entity", "p", "d", "q", "ar_modulus", "ma_modulus", "stable")
+    fits = arima.fit(P.segment_series(spark, folder), ROOT_ORDERS, splits.whole_series()).fits
+    checked = diagnostics.root_stability(fits, ROOT_ORDERS).select("entity", "p", "d", "q", "ar_modulus", "ma_modulus", "stable")
     return rounded(checked, "ar_modulus", "ma_modulus", digits=6)
 
 
-SEG_AR1 = phases_cte("seg", ALL) + ar_ctes([1], True, {0: 1}) + """,
+SEG_AR1 = phases_cte("seg", ALL) + order_ctes(Order(1, 0, 0), "ar") + """,
 forms AS (SELECT d.entity, 'resid' AS form, d.rn - 1 AS rn, d.n - 1 AS n, value - (c0 + c1 * w1) AS value
   FROM ar_design d JOIN ar_fit f ON d.entity = f.entity WHERE d.rn > 1)"""
 
@@ -163,14 +203,14 @@ def ljung_box(spark, folder):
 
 DYNAMIC = (
     phases_cte("filled", [("dynamic", "n", "n + 4")])
-    + ar_ctes([1, 2], True, {0: 1})
+    + order_ctes(Order(2, 0, 0), "ar")
     + """, walked AS (
   WITH RECURSIVE walk(entity, rn, n, c0, c1, c2, y0, y1) AS (
-    SELECT d.entity, d.rn, d.n, c0, c1, c2, y0, y1 FROM ar_design d JOIN ar_coef f ON d.entity = f.entity WHERE d.rn = d.n - 8
+    SELECT d.entity, d.rn, d.n, c0, c1, c2, y0, y1 FROM ar_design d JOIN ar_fit f ON d.entity = f.entity WHERE d.rn = d.n - 8
     UNION ALL SELECT entity, rn + 1, n, c0, c1, c2, c0 + c1 * y0 + c2 * y1, y0 FROM walk WHERE rn < n + 4)
   SELECT entity, rn, y0 AS predicted, 'dynamic' AS part FROM walk WHERE rn > n - 8),
   inside AS (SELECT d.entity, d.rn, c0 + c1 * w1 + c2 * w2 AS predicted, 'one_step' AS part
-    FROM ar_design d JOIN ar_coef f ON d.entity = f.entity WHERE d.rn > 2 AND d.rn <= d.n - 8)"""
+    FROM ar_design d JOIN ar_fit f ON d.entity = f.entity WHERE d.rn > 2 AND d.rn <= d.n - 8)"""
 )
 
 
@@ -188,7 +228,7 @@ def _candidates_sql() -> str:
     text = W + P.FILLED + phases_cte("filled", ALL)
     parts = []
     for k in (1, 2):
-        text += ar_ctes(list(range(1, k + 1)), True, {0: 1}, name=f"k{k}")
+        text += order_ctes(Order(k), f"k{k}")
         guess = " + ".join(["c0", *[f"c{i} * w{i}" for i in range(1, k + 1)]])
         parts.append(
             f"SELECT d.entity, 'ARIMA({k}, 0, 0)' AS model, value AS actual, {guess} AS predicted "
