@@ -145,3 +145,33 @@ def test_column_positions_do_not_need_one_task_per_series(spark, small_blocks):
     panel = with_position(frame(spark).select("entity", "date", "value"))
     plan = features.lag_features(panel, 2)._jdf.queryExecution().toString()
     assert "_block" in plan and "_chunk" in plan
+
+
+def test_staged_tables_can_be_released(spark):
+    import os
+
+    from tidemark.operators import axis
+
+    axis.release_staged(spark)
+    staged = axis.stage(spark.range(5).withColumn("entity", F.lit("a")))
+    assert staged.count() == 5
+    path = axis._STAGED[-1].removeprefix("file:")
+    assert os.path.isdir(path)
+    assert axis.release_staged(spark) == 1 and not os.path.exists(path)
+
+
+def test_no_window_group_outgrows_a_block(spark, small_blocks):
+    from tidemark.operators.axis import spread_blocks
+
+    spread = spread_blocks(frame(spark), back=3, ahead=2)
+    sizes = spread.groupBy("entity", "_block").count().agg(F.max("count")).first()[0]
+    assert sizes <= 7 + 3 + 2
+    assert spread.filter("_home").count() == 106
+
+
+def test_timestamps_can_be_numbered(spark):
+    rows = spark.range(200).select(
+        F.lit("a").alias("entity"), F.timestamp_seconds(F.col("id") * 3600).alias("date"), F.col("id").alias("i")
+    )
+    numbered = with_position(rows, chunk_days=1)
+    assert numbered.filter(F.col("rn") != F.col("i") + 1).count() == 0

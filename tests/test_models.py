@@ -264,3 +264,22 @@ def test_forecast_dates_follow_the_last_quarter(spark):
     panel = quarterly(spark, {"a": [1, 2, 3, 4]})
     dates = [r["date"].isoformat() for r in future_dates(spacing(panel), 2).orderBy("step").collect()]
     assert dates == ["2021-03-31", "2021-06-30"]
+
+
+def test_stationarity_by_roots():
+    rng = np.random.default_rng(8)
+    phi = rng.normal(scale=0.7, size=(200, 4))
+    companion = np.zeros((200, 4, 4))
+    companion[:, 0, :] = phi
+    companion[:, 1:, :-1] = np.eye(3)
+    inside = np.abs(np.linalg.eigvals(companion)).max(axis=1) < 1
+    assert inside.any() and not inside.all()
+    assert (arima.stationary(phi) == inside).all()
+
+
+def test_explosive_plain_order_is_left_out(spark):
+    y = [1.1**i + 0.01 * (-1) ** i for i in range(40)]
+    done = arima.fit(daily(spark, {"a": y}), [Order(1), Order(1, stationary=False)], splits.whole_series(2))
+    status = {r["order_index"]: r["status"] for r in done.fits.collect()}
+    assert status == {1: "unstable", 2: "ok"}
+    assert {r["order_index"] for r in done.forecasts.collect()} == {2}

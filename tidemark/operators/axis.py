@@ -24,6 +24,8 @@ BLOCK_ROWS = 4096
 
 Keys = str | Sequence[str]
 
+_STAGED: list[str] = []
+
 
 def as_list(keys: Keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
@@ -55,17 +57,32 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_position(df: DataFrame, keys: Keys = "entity", date: str = "date") -> DataFrame:
+def release_staged(spark: SparkSession) -> int:
+    """Remove the tables this process staged; results that still read them must be written before."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    removed = 0
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        removed += bool(path.getFileSystem(conf).delete(path, True))
+    return removed
+
+
+def with_position(df: DataFrame, keys: Keys = "entity", date: str = "date", *,
+                  chunk_days: int | None = None) -> DataFrame:
     """Add ``rn`` (1-based position in time) and ``n`` (series length).
 
-    Rows are numbered inside calendar chunks of ``BLOCK_ROWS`` days, which the key
-    (entity, date) bounds to that many rows; chunk counts supply the offsets.
+    Rows are numbered inside calendar chunks of ``chunk_days`` (``BLOCK_ROWS`` if omitted) days,
+    which the key (entity, date) bounds to that many rows; chunk counts supply the offsets.
+    Check ``duplicate_dates`` first: a repeated key breaks that bound.  Choose fewer days for
+    timestamps.
     """
     keys = as_list(keys)
-    chunked = df.withColumn("_chunk", F.floor(F.unix_date(F.col(date)) / F.lit(BLOCK_ROWS)))
+    day = F.unix_date(F.col(date).cast("date"))
+    chunked = df.withColumn("_chunk", F.floor(day / F.lit(chunk_days or BLOCK_ROWS)))
     counts = chunked.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_size"))
     series = Window.partitionBy(*keys)
     offsets = counts.select(
