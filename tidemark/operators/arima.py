@@ -124,8 +124,11 @@ class Design:
 
     @property
     def names(self) -> list[str]:
+        """Design columns: those that at least one order uses."""
         const = ["one"] if self.orders[0][1].has_const else []
-        return [*const, *[f"w_{k}" for k in range(1, self.max_ar + 1)], *[f"e_{k}" for k in range(1, self.max_ma + 1)]]
+        ar = sorted({lag for _, order in self.orders for lag in order.ar_lags})
+        ma = sorted({lag for _, order in self.orders for lag in order.ma_lags})
+        return [*const, *[f"w_{k}" for k in ar], *[f"e_{k}" for k in ma]]
 
     @property
     def lost(self) -> int:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.axis import Keys, as_list, attach, windowed
+from tidemark.operators.splits import split_position
 
 
 def lag_features(panel: DataFrame, lags: int = 4, value: str = "value", *, keys: Keys = "entity",
@@ -70,6 +71,13 @@ def supervised_windows(panel: DataFrame, look_back: int, value: str = "value", *
     return kept.filter(F.col("rn") < F.col("n")) if legacy else kept
 
 
+def evaluation_windows(panel: DataFrame, look_back: int, test_size: float | int = 0.2, value: str = "value", *,
+                       keys: Keys = "entity") -> DataFrame:
+    """Windows of the test rows; the first ones reach ``look_back`` rows back into the training span."""
+    at = split_position(F.col("n"), test_size)
+    return supervised_windows(panel, look_back, value, keys=keys).filter((F.col("rn") > at) & (at > look_back))
+
+
 def minmax_scale(panel: DataFrame, train: Column | None = None, value: str = "value", *,
                  keys: Keys = "entity") -> DataFrame:
     """Add ``scaled`` and the ``low``/``high`` used.

@@ -95,6 +95,18 @@ _windows("supervised_windows_legacy", True)
 TRAIN = "rn <= trunc(n * 0.8::DOUBLE)"
 
 
+@query(
+    "eval_context",
+    W + P.FILLED + f""", w AS (SELECT *, concat_ws(',', lag(value, 4) OVER {BY}, lag(value, 3) OVER {BY},
+      lag(value, 2) OVER {BY}, lag(value, 1) OVER {BY}) AS history FROM filled)
+    SELECT entity, date, history, value FROM w WHERE rn > trunc(n * 0.8::DOUBLE) AND trunc(n * 0.8::DOUBLE) > 4""",
+)
+def eval_context(spark, folder):
+    framed = features.evaluation_windows(P.filled_series(spark, folder), 4, 0.2)
+    history = F.concat_ws(",", F.transform("window", lambda v: v.cast("string")))
+    return framed.select("entity", "date", history.alias("history"), "value")
+
+
 def _scale_sql(limit: str) -> str:
     return P.FILLED + f""",
 limits AS (SELECT entity, min(value) FILTER ({limit}) AS low, max(value) FILTER ({limit}) AS high
