@@ -140,3 +140,19 @@ def test_run_records(spark, tmp_path):
     assert saved[0]["data"]["n_observations"] == 4 and saved[0]["data"]["frequency"] == "QE-DEC"
     assert saved[0]["model"]["name"] == "ARIMA" and saved[0]["metrics"] == {"rmse": 1.5}
     assert saved[0]["run"]["created_at_utc"] == "2024-05-06T07:08:09Z"
+
+
+def test_python_code_travels_with_the_plan():
+    """Workers need no installed package: functions are pickled with their code."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from tidemark.operators.arima import Order, stationary
+
+    blob = cloudpickle.dumps((stationary, Order(1, 0, 1)))
+    script = "import pickle, sys; f, o = pickle.loads(sys.stdin.buffer.read()); import numpy as np; print(f(np.array([[0.5]])), o.ma_lags)"
+    done = subprocess.run([sys.executable, "-c", script], input=blob, capture_output=True, cwd="/", env={"PYTHONPATH": ""})
+    assert done.returncode == 0, done.stderr
+    assert b"[ True] [1]" in done.stdout

@@ -81,14 +81,15 @@ def conditional_variance(shock: np.ndarray, b: np.ndarray, carried: np.ndarray)
     ``shock`` is (time, candidate), ``b`` (lag, candidate), ``carried`` (lag, candidate) the
     variances before the first row, latest first.  Returns all h and the state after the last row.
     """
-    out = np.empty_like(shock)
-    state = carried.copy()
-    for t in range(len(shock)):
-        h = shock[t] + (b * state).sum(axis=0) if len(state) else shock[t]
-        out[t] = h
-        if len(state):
-            state = np.vstack([h[None, :], state[:-1]])
-    return out, state
+    q = len(b)
+    if not q:
+        return shock, carried
+    # The entering variances come first, latest last, so that each step reads the rows before it.
+    path = np.vstack([carried[::-1], shock])
+    for t in range(q, len(path)):
+        for j in range(q):
+            path[t] += b[j] * path[t - 1 - j]
+    return path[q:], path[: -q - 1: -1]
 
 
 def _blocks(rows: DataFrame, keys: list[str], p: int) -> DataFrame:
