@@ -35,6 +35,24 @@ def op1_token_files(spark, sf_dir):
     return read_token_files(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query("op2_language")
+def op2_language(spark, sf_dir):
+    from tidemark.llm.language import fit, held_out, predict
+
+    docs = table(spark, sf_dir, "documents")
+    found = predict(docs.select("doc_id", "text"), fit(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_quality")
+def op4_quality(spark, sf_dir):
+    from tidemark.llm.quality import quality
+
+    found = quality(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                        "probability")
+
+
 @query("op8_token_counts")
 def op8_token_counts(spark, sf_dir):
     from tidemark.llm.token_counts import token_counts

@@ -70,6 +70,11 @@ def before(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     )
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once; plain columns would be put into every place, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parts_for(rows: int | None, each: int) -> int:
     """How many pieces of about ``each`` rows (or bytes) hold all."""
     return max(1, -(-int(rows or 0) // each))

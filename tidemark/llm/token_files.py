@@ -143,7 +143,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32 and the ids, in file order."""
     order = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file only
     files = manifest.select("path", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("start"))
-    spread = files.repartition(F.col("path"))
+    spread = files.repartition(max(1, manifest.count()), "path")  # a task for each file; sizes of paths tell nothing
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
