@@ -53,6 +53,14 @@ def op4_quality(spark, sf_dir):
                         "probability")
 
 
+@query("op7_substrings")
+def op7_substrings(spark, sf_dir):
+    from tidemark.llm.substrings import remove_repeated
+
+    found = remove_repeated(table(spark, sf_dir, "documents"), 13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op8_token_counts")
 def op8_token_counts(spark, sf_dir):
     from tidemark.llm.token_counts import token_counts
