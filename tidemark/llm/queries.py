@@ -53,6 +53,13 @@ def op4_quality(spark, sf_dir):
                         "probability")
 
 
+@query("op5_ngram_join")
+def op5_ngram_join(spark, sf_dir):
+    from tidemark.llm.ngram_join import linked_groups
+
+    return linked_groups(table(spark, sf_dir, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")
+
+
 @query("op7_substrings")
 def op7_substrings(spark, sf_dir):
     from tidemark.llm.substrings import remove_repeated
