@@ -44,6 +44,13 @@ def op2_language(spark, sf_dir):
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+@query("op3_decontamination")
+def op3_decontamination(spark, sf_dir):
+    from tidemark.llm.decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op4_quality")
 def op4_quality(spark, sf_dir):
     from tidemark.llm.quality import quality
@@ -60,6 +67,13 @@ def op5_ngram_join(spark, sf_dir):
     return linked_groups(table(spark, sf_dir, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")
 
 
+@query("op6_html_text")
+def op6_html_text(spark, sf_dir):
+    from tidemark.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 @query("op7_substrings")
 def op7_substrings(spark, sf_dir):
     from tidemark.llm.substrings import remove_repeated
