@@ -1,13 +1,80 @@
-"""A corpus pipeline of five stages; filled in below as operators come."""
+"""A corpus pipeline: language ID, near duplicates, repeated passages, benchmark leaks, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on everything its predecessor kept.  All but the
+last return the columns of ``documents``; other columns that docs may have pass through as well.
+Missing values, empty tables and repeated rows follow the operators' docstrings.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontamination, language, ngram_join, packing, substrings
+from tidemark.llm.queries import BYTE_BPE
+from tidemark.llm.shared import staged, table
+
+#: Words of a near-duplicate shingle, and the least similarity in percent.
+SHINGLE, SIMILAR = 5, 80
+#: Words of a passage that may stand in one document only.
+PASSAGE = 50
+#: Least probability of the predicted language.
+SURE = 0.5
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep rows whose language is told from the text with a score of ``SURE``; no letter or no text means rejected."""
+    marked = docs.select("*", F.struct(*docs.columns).alias("_row"))
+    labelled = language.predict(marked, language.fit(docs), key="_row", text="text")
+    kept = labelled.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURE))
+    return kept.select("_row.*")
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the row with the smallest doc_id of each group of near duplicates."""
+    grouped = ngram_join.linked_groups(docs, SHINGLE, SIMILAR, carry=docs.columns)
+    return grouped.filter("first").select("carry.*")
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages that a document with a smaller doc_id has too; texts that lose nothing stay as they are."""
+    cut = substrings.remove_repeated(docs, PASSAGE, carry=[c for c in docs.columns if c != "text"])
+    lost = F.col("n_removed") > 0
+    texts = cut.select("carry", F.when(lost, F.col("kept")).otherwise(F.col("text")).alias("text"), lost.alias("lost"))
+    columns = {c: F.col("text") if c == "text" else F.col(f"carry.{c}") for c in docs.columns}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("lost"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return texts.select(*[value.alias(c) for c, value in columns.items()])
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item."""
+    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    leaked = staged(found.select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
+    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 tokens, every source at its share."""
+    pieces = packing.pack(docs, BYTE_BPE, length=1024)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("substring_dedup", without_repeats),
+    ("benchmark_decontamination", without_leaks),
+    ("packing", packed),
+]
+
+# A trained network and a tokenizer are no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's result is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
