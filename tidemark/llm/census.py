@@ -53,7 +53,7 @@ def chunked(docs: DataFrame, key: str, text: str, carry: list[str] = ()) -> Data
                                              names=["chunk", "row", *batch.schema.names])
 
     kind = rows.schema["carry"].dataType.simpleString()
-    return staged(ordered.mapInArrow(number, f"chunk long, row long, key long, text string, carry {kind}"), "chunks")
+    return staged(ordered.mapInArrow(number, f"chunk long, row long, key long, text string, carry {kind}"), "chunks", free=True)
 
 
 def bucket_bits(rows: DataFrame) -> int:
@@ -148,7 +148,7 @@ def repeated(sent: DataFrame) -> DataFrame:
         return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)],
                         names=["chunk", "hashes", "counts", "earlier"])
 
-    return staged(sent.groupBy("bucket").applyInArrow(answer, ANSWER), "repeated")
+    return staged(sent.groupBy("bucket").applyInArrow(answer, ANSWER), "repeated", free=True)
 
 
 class Answers:

@@ -93,7 +93,7 @@ def _sets(chunks: DataFrame, answers: DataFrame, size: int, percent: int) -> Dat
         return pa.table([docs.column("row"), docs.column("key"), *made, docs.column("carry")], names=[x.split()[0] for x in NAMES])
 
     sides = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
-    return staged(sides.applyInArrow(make, kind), "shingle-sets")
+    return staged(sides.applyInArrow(make, kind), "shingle-sets", free=True)
 
 
 NAMES = ("row", "key", "n", "sign", "sign2", "l", "prefix", "tokens", "carry")

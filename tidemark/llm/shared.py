@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from functools import lru_cache
 
@@ -24,17 +25,27 @@ def folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
+def staged(df: DataFrame, label: str, compression: str = "zstd", free: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, lost executors re-read it.
 
-    Shuffle files of the finished job are let go, so disk holds the table instead of both.
+    ``free``: let go of the shuffle files of finished jobs, so that disk holds the table instead of both.
     """
     spark, path = df.sparkSession, folder(df.sparkSession, label)
     df.write.option("compression", compression).parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return back
+    if free:
+        free_shuffles(spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark removes a shuffle's files once the driver has collected the plan that made them; ask for that now.
+
+    The second time is for plans that were still held by the events of the last job.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

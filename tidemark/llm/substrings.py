@@ -112,7 +112,7 @@ def remove_repeated(docs: DataFrame, words: int = 13, *, key: str = "doc_id", te
     for short, long in zip(lengths, lengths[1:]):
         if answers.isEmpty():
             break
-        answers = repeated(staged(_extended(chunks, answers, short, long, bits), "extended"))
+        answers = repeated(staged(_extended(chunks, answers, short, long, bits), "extended", free=True))
 
     carried = chunks.schema["carry"].dataType
 
