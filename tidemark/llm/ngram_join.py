@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.census import Answers, all_windows, bucket_bits, chunked, repeated
@@ -130,8 +130,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return staged(both.withColumn("shared", shared).filter(linked).select("a", "b"), "verified")
 
 
-def _sizes_fit(x: str, y: str, percent: int):
-    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Can two sets that share a token reach the similarity, by their sizes and the token's places in them?
+
+    Before the token they share at most as many as the shorter part has, after it likewise.
+    """
+    n_x, n_y, m_x, m_y, at_x, at_y = (F.col(f"{c}{side}") for c in ("n", "m", "at") for side in (x, y))
+    most = F.least(at_x, at_y) + F.least(m_x - at_x, m_y - at_y)
+    return (100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y)) & ((100 + percent) * most >= percent * (n_x + n_y))
+
+
+def _in_prefix(x: str, y: str, percent: int) -> Column:
+    """Is the token in the prefixes that this very pair needs?  They are shorter than those for partners of any size."""
+    n_x, n_y, l_x, l_y = (F.col(f"{c}{side}") for c in ("n", "l") for side in (x, y))
+    room = (100 + percent) * F.least(l_x, l_y) - percent * (n_x + n_y)
+    return F.greatest(*[(100 + percent) * (F.col(f"at{side}") - F.col(f"m{side}")) for side in (x, y)]) < room
 
 
 def linked_groups(docs: DataFrame, size: int = 4, percent: int = 85, *, key: str = "doc_id", text: str = "text",
@@ -170,12 +183,13 @@ def linked_groups(docs: DataFrame, size: int = 4, percent: int = 85, *, key: str
 def _groups(sets: DataFrame, percent: int) -> DataFrame:
     """``node``, ``label`` of distinct sets."""
     nodes = sets.select(F.col("row").alias("node"))
-    postings = staged(sets.select("row", "n", "l", F.explode("prefix").alias("token")), "postings")
+    whole = sets.select("row", "n", "l", F.size("tokens").alias("m"), F.posexplode("prefix").alias("at", "token"))
+    postings = staged(whole, "postings")
     counts = postings.groupBy("token").count().filter("count > 1").select("token")
     postings = staged(postings.join(counts, "token"), "postings")
     size, links, labels, left = postings.count(), None, nodes.select("node", F.col("node").alias("label")), None
     for turn in range(ROUNDS):
-        open_ = postings.join(labels, postings["row"] == labels["node"]).select("row", "n", "l", "token", "label")
+        open_ = postings.join(labels, postings["row"] == labels["node"]).select("row", "n", "l", "m", "at", "token", "label")
         # Tokens with one group only have nothing left to find.
         spread = open_.groupBy("token", "label").agg(F.count(F.lit(1)).alias("g"))
         spread = spread.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.sum("g").alias("all"), F.sum(F.col("g") * F.col("g")).alias("own"))
@@ -188,14 +202,18 @@ def _groups(sets: DataFrame, percent: int) -> DataFrame:
         # A hub for each token: its first row, then rows drawn by hash; a row takes the hub it shares most tokens with.
         order = F.col("row") if turn == 0 else F.xxhash64("row", F.lit(turn))
         hubs = open_.groupBy("token").agg(F.min(F.struct(order.alias("o"), F.col("row").alias("hub"), F.col("n").alias("n_hub"),
+                                                         F.col("m").alias("m_hub"), F.col("at").alias("at_hub"),
                                                          F.col("label").alias("hub_label"))).alias("h")).select("token", "h.*")
-        meet = open_.join(hubs, "token").filter((F.col("label") != F.col("hub_label")) & _sizes_fit("n", "n_hub", percent))
+        meet = open_.join(hubs, "token").filter((F.col("label") != F.col("hub_label")) & _may_link("", "_hub", percent))
         best = meet.groupBy("row", "hub").count().groupBy("row").agg(F.max(F.struct("count", "hub")).alias("h"))
         tried = best.select(F.least("row", "h.hub").alias("a"), F.greatest("row", "h.hub").alias("b")).distinct()
         links, labels = _joined(links, _verified(tried, sets, percent), nodes)
-    x = open_.select("token", F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("l").alias("l_a"), F.col("label").alias("g_a"))
-    y = open_.select("token", F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("l").alias("l_b"), F.col("label").alias("g_b"))
-    met = x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.col("g_a") != F.col("g_b")) & _sizes_fit("n_a", "n_b", percent))
+    def side(name: str) -> DataFrame:
+        return open_.select("token", F.col("row").alias(name), F.col("label").alias(f"g_{name}"),
+                            *[F.col(c).alias(f"{c}_{name}") for c in ("n", "l", "m", "at")])
+
+    met = side("a").join(side("b"), "token").filter((F.col("a") < F.col("b")) & (F.col("g_a") != F.col("g_b")) & _may_link("_a", "_b", percent)
+                                                & _in_prefix("_a", "_b", percent))
     enough = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.first(F.least("l_a", "l_b")).alias("l")).filter("met >= l")
     return _joined(links, _verified(enough, sets, percent), nodes)[1]
 
