@@ -121,6 +121,7 @@ class Design:
     max_ar: int
     max_ma: int
     long_ar: int
+    least: int = 0  # rows that no order of a comparison may use
 
     @property
     def names(self) -> list[str]:
@@ -138,7 +139,7 @@ class Design:
         """Last position that cannot be a regression row of this order."""
         ar = max(order.ar_lags, default=0)
         ma = self.long_ar + max(order.ma_lags) if order.ma_lags else 0
-        return self.lost + max(ar, ma)
+        return max(self.least, self.lost + max(ar, ma))
 
     def pick(self, order: Order) -> list[int]:
         used = {"one", *[f"w_{k}" for k in order.ar_lags], *[f"e_{k}" for k in order.ma_lags]}
@@ -389,10 +390,11 @@ class Fitted:
 
 
 def fit(panel: DataFrame, orders: Sequence[Order], phases: Column, *, keys: Keys = "entity", value: str = "value",
-        long_ar: int = LONG_AR, extra_parameters: int = 0, already_phased: bool = False) -> Fitted:
+        long_ar: int = LONG_AR, extra_parameters: int = 0, already_phased: bool = False, same_rows: bool = False) -> Fitted:
     """Fit every order in every phase of every series, and forecast each phase's span.
 
-    The Python loop runs over distinct differencings (a handful), never over series.
+    The Python loop runs over distinct differencings (a handful), never over series.  ``same_rows`` fits all orders
+    on the rows that every one of them can use, so that their information criteria can be compared.
     """
     keys = as_list(keys)
     spans = panel if already_phased else phased(panel, phases, keys=keys)
@@ -401,6 +403,10 @@ def fit(panel: DataFrame, orders: Sequence[Order], phases: Column, *, keys: Keys
     for index, order in enumerate(orders, start=1):
         groups.setdefault(order.differencing, []).append((index, order))
     designs = [design(spans, group, keys=keys, value=value, long_ar=long_ar) for group in groups.values()]
+    if same_rows:
+        least = max(made.start(order) for made in designs for _, order in made.orders)
+        for made in designs:
+            made.least = least
 
     def union(frames):
         return reduce(lambda a, b: a.unionByName(b), frames)

@@ -165,20 +165,21 @@ def nearest_known(panel: DataFrame, values: Keys, *, keys: Keys = "entity") -> D
     )
     order = Window.partitionBy(*keys).orderBy("_block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(1, Window.unboundedFollowing)
+    # From the other end: a frame that reaches forward without bound is worked out anew for every row.
+    back = Window.partitionBy(*keys).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(
         *keys,
         "_block",
         *[F.last(f"_tail_{c}", ignorenulls=True).over(before).alias(f"_before_{c}") for c in values],
-        *[F.first(f"_head_{c}", ignorenulls=True).over(after).alias(f"_after_{c}") for c in values],
+        *[F.last(f"_head_{c}", ignorenulls=True).over(back).alias(f"_after_{c}") for c in values],
     )
     inside = Window.partitionBy(*keys, "_block").orderBy("rn")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    beyond = inside.rowsBetween(0, Window.unboundedFollowing)
+    beyond = Window.partitionBy(*keys, "_block").orderBy(F.desc("rn")).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.select(
         "*",
         *[F.last(f"_known_{c}", ignorenulls=True).over(upto).alias(f"_upto_{c}") for c in values],
-        *[F.first(f"_known_{c}", ignorenulls=True).over(beyond).alias(f"_beyond_{c}") for c in values],
+        *[F.last(f"_known_{c}", ignorenulls=True).over(beyond).alias(f"_beyond_{c}") for c in values],
     )
     return local.join(carried, [*keys, "_block"]).select(
         *panel.columns,

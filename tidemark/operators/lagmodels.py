@@ -95,10 +95,12 @@ def window_forecast(panel: DataFrame, fits: DataFrame, steps: int, look_back: in
     last = windowed(panel, latest, keys=base, back=look_back - 1).filter(
         (F.col("rn") == F.col("n")) & (F.size("window") == look_back)
     )
-    models = fits.filter("fit = 'ok'").select(*base, "coef", "low", "high")
+    # A model of each phase, where the fits have phases.
+    named = [*base, *[c for c in fits.columns if c == "phase" and c not in base]]
+    models = fits.filter("fit = 'ok'").select(*named, "coef", "low", "high")
     joined = last.select(*base, "window").join(models, base)
     scaled = F.transform("window", lambda v: (v - F.col("low")) / scale_width())
     path = recursive_forecast(scaled, F.slice("coef", 2, look_back), F.col("coef")[0], steps)
-    rolled = joined.select(*base, "low", "high", F.posexplode(path).alias("_i", "_scaled"))
+    rolled = joined.select(*named, "low", "high", F.posexplode(path).alias("_i", "_scaled"))
     predicted = F.col("_scaled") * scale_width() + F.col("low")
-    return rolled.select(*base, (F.col("_i") + 1).alias("step"), predicted.alias("predicted"))
+    return rolled.select(*named, (F.col("_i") + 1).alias("step"), predicted.alias("predicted"))

@@ -197,9 +197,9 @@ def with_quarter_dates(df: DataFrame, *, year: str = "year", quarter: str = "qua
     if strict:
         if null_keys(df, (year, quarter)).first()["null_keys"]:
             raise ValueError(f"Columns {year!r} and {quarter!r} must not be missing.")
-        bad = [row[0] for row in invalid_quarters(df, quarter).orderBy(quarter).limit(20).collect()]
-        if bad:
-            raise ValueError(f"Quarter values outside 1..4: {bad}")
+        bad = invalid_quarters(df, quarter).agg(F.count(F.lit(1)).alias("n"), F.min(quarter).alias("low"), F.max(quarter).alias("high")).first()
+        if bad["n"]:
+            raise ValueError(f"{bad['n']} quarter values outside 1..4, from {bad['low']} to {bad['high']}; invalid_quarters lists them.")
     return df.withColumn(date, quarter_end(year, quarter))
 
 

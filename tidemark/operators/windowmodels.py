@@ -164,7 +164,8 @@ def forecast_windows(model: GBTRegressionModel, limits: DataFrame, panel: DataFr
     columns = {f"lag_{k}": (lambda w, k=k: F.lag(value, k - 1).over(w)) for k in range(1, look_back + 1)}
     names = [f"lag_{k}" for k in range(look_back, 0, -1)]
     last = windowed(panel, columns, keys=base, back=look_back - 1).filter(F.col("rn") == F.col("n"))
-    state = last.select(*base, *names).join(limits.select(*base, "low", "high"), base)
+    named = [*base, *[c for c in limits.columns if c == "phase" and c not in base]]
+    state = last.select(*base, *names).join(limits.select(*named, "low", "high"), base)
     state = state.withColumns({c: (F.col(c) - F.col("low")) / scale_width() for c in names}).na.drop(subset=names)
     out = state.withColumn("_path", F.array().cast("array<double>"))
     for _ in range(steps):
@@ -173,8 +174,8 @@ def forecast_windows(model: GBTRegressionModel, limits: DataFrame, panel: DataFr
         out = moved.withColumns(
             {**shifted, "lag_1": F.col("scaled"), "_path": F.concat("_path", F.array("scaled"))}
         ).drop("scaled")
-    rolled = out.select(*base, "low", "high", F.posexplode("_path").alias("_i", "scaled"))
+    rolled = out.select(*named, "low", "high", F.posexplode("_path").alias("_i", "scaled"))
     back = F.col("scaled") * scale_width() + F.col("low")
-    return rolled.select(*base, (F.col("_i") + 1).alias("step"), back.alias("predicted"))
+    return rolled.select(*named, (F.col("_i") + 1).alias("step"), back.alias("predicted"))
 
 

@@ -3,7 +3,7 @@
 from importlib import import_module
 
 # Modules that register queries.
-REGISTERING = ("prepare", "describe", "shape", "forecasts", "learners", "tests_of_fit", "records")
+REGISTERING = ("prepare", "describe", "shape", "forecasts", "learners", "residual_checks", "records")
 
 
 def load_all() -> None:

@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,8 +190,8 @@ def run(panel: DataFrame, models: Sequence[str], config: ArenaConfig = ArenaConf
                     {"model_key": F.lit(key), "model": F.lit(family.label), "horizon": F.lit(family.horizon)}
                 )
                 parts.append(stage(labelled, f"arena-{key}"))
-            except (PySparkException, ValueError) as problem:
-                status, error = "error", str(problem)[:500]
+            except Exception as problem:  # noqa: BLE001  whatever stops one family, the others go on
+                status, error = "error", str(problem)
         took = None if status == "skipped" else time.perf_counter() - begun
         outcomes.append((place, key, family.label, family.group, status, took, error))
     if parts:

@@ -290,7 +290,7 @@ def _roll_sql() -> str:
 def window_forecast(spark, folder):
     series = P.filled_series(spark, folder)
     fits, _ = lagmodels.window_linear(series, splits.holdout(0.2), 4)
-    return rounded(lagmodels.window_forecast(series, fits, 6, 4), "predicted", digits=6)
+    return rounded(lagmodels.window_forecast(series, fits, 6, 4).drop("phase"), "predicted", digits=6)
 
 
 @query(

@@ -24,10 +24,12 @@ STATE = "NATION_7"
 
 @query("load_panel", W + P.PRICE + " SELECT * FROM price_panel")
 def load_panel(spark, folder):
+    import uuid
+
     from tidemark.operators.axis import shared_folder
     from tidemark.sources.tables import load_panel, write_table
 
-    path = write_table(P.price_panel(spark, folder), f"{shared_folder(spark)}/exports", name="panel", fmt="csv")
+    path = write_table(P.price_panel(spark, folder), f"{shared_folder(spark)}/exports-{uuid.uuid4().hex}", name="panel", fmt="csv")
     return load_panel(spark, path, fmt="csv")
 
 

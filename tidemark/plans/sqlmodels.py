@@ -57,7 +57,7 @@ def stationary_sql(phi: list[str]) -> str:
 
 
 def ar_ctes(lags: list[int], const: bool, weights: dict[int, int], spans: str = "spans", value: str = "value",
-            name: str = "ar", ma: list[int] | None = None, stable: bool = False) -> str:
+            name: str = "ar", ma: list[int] | None = None, stable: bool = False, least: int = 0) -> str:
     """Autoregression of the differenced value by least squares, and its forecasts.
 
     With ``ma`` lags, residuals of an autoregression of LONG_AR lags are regressors too.
@@ -93,7 +93,7 @@ def ar_ctes(lags: list[int], const: bool, weights: dict[int, int], spans: str =
         text += f",\n{name}_design AS (SELECT * FROM {name}_base)"
         start = lost + max(lags, default=0)
     xs = ones + [f"w{k}" for k in lags] + [f"e{k}" for k in ma]
-    text += f",\n{name}_train AS (SELECT * FROM {name}_design WHERE rn <= fit_end AND rn > {start})"
+    text += f",\n{name}_train AS (SELECT * FROM {name}_design WHERE rn <= fit_end AND rn > {max(start, least)})"
     carried = ", max(n) AS n, max(fit_end) AS fit_end, max(score_end) AS score_end"
     if xs:
         text += solve_ctes(f"{name}_coef", f"{name}_train", ["entity", "phase"], xs, "w0", carried)
@@ -131,13 +131,13 @@ def ar_ctes(lags: list[int], const: bool, weights: dict[int, int], spans: str =
     return text
 
 
-def order_ctes(order, name: str, spans: str = "spans") -> str:
-    """The same for an order given by its numbers."""
+def order_ctes(order, name: str, spans: str = "spans", least: int = 0) -> str:
+    """The same for an order given by its numbers; the first ``least`` rows are not fitted."""
     from tidemark.operators.features import difference_weights
 
     weights = difference_weights(order.d, order.D, order.s)
     return ar_ctes(order.ar_lags, order.has_const, weights, spans=spans, name=name, ma=order.ma_lags,
-                   stable=order.must_be_stationary)
+                   stable=order.must_be_stationary, least=least)
 
 
 def lag_ctes(lags: int, name: str = "lagged", spans: str = "spans") -> str:

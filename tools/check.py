@@ -70,10 +70,7 @@ def main() -> int:
     from tidemark.plans.registry import PLANS, SQL
 
     for module in plans.REGISTERING:
-        try:
-            import_module(f"tidemark.plans.{module}")
-        except ModuleNotFoundError as error:
-            print("skipping", module, error)
+        import_module(f"tidemark.plans.{module}")
     spark, con = session(), connect(folder)
     bad = 0
     for name, plan in PLANS.items():
@@ -84,7 +81,7 @@ def main() -> int:
             columns, left, names, right = compare(spark, con, plan, SQL.get(name), folder)
         except Exception as error:  # noqa: BLE001
             bad += 1
-            print(f"FAIL {name}: {type(error).__name__}: {str(error)[:600]}", flush=True)
+            print(f"FAIL {name}: {type(error).__name__}: {error}", flush=True)
             continue
         took = time.time() - start
         if right is None:
@@ -94,7 +91,7 @@ def main() -> int:
             print(f"COLUMNS {name}: {sorted(columns)} != {sorted(names)}", flush=True)
         elif left != right:
             bad += 1
-            off = [(a, b) for a, b in zip(left, right) if a != b][:2]
+            off = [(a, b) for a, b in zip(left, right) if a != b]
             print(f"DIFF {name}: {len(left)} vs {len(right)} rows, {sorted(columns)} {off}", flush=True)
         else:
             print(f"ok   {name}: {len(left)} rows {took:.1f}s", flush=True)
