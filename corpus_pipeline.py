@@ -24,10 +24,11 @@ SURE = 0.5
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep rows whose language is told from the text with a score of ``SURE``; no letter or no text means rejected."""
-    marked = docs.select("*", F.struct(*docs.columns).alias("_row"))
-    labelled = language.predict(marked, language.fit(docs), key="_row", text="text")
+    others = [c for c in docs.columns if c != "text"]
+    marked = docs.select(F.struct(*others).alias("_row"), "text")
+    labelled = language.predict(marked, language.fit(docs), key="_row", with_text=True)
     kept = labelled.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURE))
-    return kept.select("_row.*")
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"_row.{c}") for c in docs.columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -154,8 +154,8 @@ def fit(docs: DataFrame, *, per_language: int = 300, key: str = "doc_id") -> Net
     return train([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
 
 
-def predict(docs: DataFrame, network: Network | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, lang_pred, score for every row, from the text alone.
+def predict(docs: DataFrame, network: Network | None, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+    """``key``, lang_pred, score for every row, from the text alone; ``with_text`` adds the text as ``text``.
 
     Missing texts and texts without a letter are ``und`` with score 0, as is everything where nothing could be
     learned.  Very long texts are read whole, window by window.  Repeated rows get equal rows, an empty table none.
@@ -165,7 +165,8 @@ def predict(docs: DataFrame, network: Network | None, key: str = "doc_id", text:
                        F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False)).alias("known"))
     kind = rows.schema["key"].dataType.simpleString()
     if network is None:
-        return rows.select(F.col("key").alias(key), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        none = rows.select(F.col("key").alias(key), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), "text")
+        return none if with_text else none.drop("text")
     # About 20 MB whatever the input: tables of 65,536 rows for a fixed number of filters.
     held = spark.sparkContext.broadcast(pickle.dumps(network))
 
@@ -173,12 +174,13 @@ def predict(docs: DataFrame, network: Network | None, key: str = "doc_id", text:
         model = pickle.loads(held.value)
         for batch in batches:
             for part in slices(batch, "text", AT_ONCE):
-                yield _labelled(model, part)
+                yield _labelled(model, part, with_text)
 
-    return rows.mapInArrow(label, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+    schema = f"key {kind}, lang_pred string, score double" + (", text string" if with_text else "")
+    return rows.mapInArrow(label, schema).withColumnRenamed("key", key)
 
 
-def _labelled(model: Network, part: pa.RecordBatch) -> pa.RecordBatch:
+def _labelled(model: Network, part: pa.RecordBatch, with_text: bool) -> pa.RecordBatch:
     data, offsets = text_bytes(part.column("text"))
     n, known = part.num_rows, part.column("known").to_numpy(zero_copy_only=False)
     sums = np.zeros((n, len(model.languages)))
@@ -194,4 +196,5 @@ def _labelled(model: Network, part: pa.RecordBatch) -> pa.RecordBatch:
     names = np.array(model.languages, dtype=object)[share.argmax(axis=1)]
     return pa.RecordBatch.from_arrays(
         [part.column("key"), pc.if_else(pa.array(known), pa.array(names, pa.string()), UNKNOWN),
-         pa.array(np.where(known, np.clip(share.max(axis=1), 0, 1), 0.0))], names=["key", "lang_pred", "score"])
+         pa.array(np.where(known, np.clip(share.max(axis=1), 0, 1), 0.0)), *([part.column("text")] if with_text else [])],
+        names=["key", "lang_pred", "score", *(["text"] if with_text else [])])
