@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import parts_for, slices, staged, whole_text
+from tidemark.llm.shared import parts_for, slices, small_batches, staged, whole_text
 
 #: Bytes of text in a chunk, and about as many bytes of hashes in a bucket.
 CHUNK = 4 << 20
@@ -32,6 +32,7 @@ def chunked(docs: DataFrame, key: str, text: str, carry: list[str] = ()) -> Data
 
     ``row`` is unique and ascends with the key; rows of one key share a chunk unless the key itself fills chunks.
     """
+    small_batches(docs.sparkSession)
     extra = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(0)
     rows = docs.select(F.col(key).cast("long").alias("key"), whole_text(text).alias("text"), extra.alias("carry"))
     ordered = rows.repartitionByRange("key").sortWithinPartitions("key")

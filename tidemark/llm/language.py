@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import slices, text_bytes, whole_text
+from tidemark.llm.shared import slices, small_batches, text_bytes, whole_text
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
@@ -160,6 +160,7 @@ def predict(docs: DataFrame, network: Network | None, key: str = "doc_id", text:
     Missing texts and texts without a letter are ``und`` with score 0, as is everything where nothing could be
     learned.  Very long texts are read whole, window by window.  Repeated rows get equal rows, an empty table none.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"),
                        F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False)).alias("known"))

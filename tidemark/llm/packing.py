@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytebpe
-from tidemark.llm.shared import before, slices, staged, whole_text
+from tidemark.llm.shared import before, slices, small_batches, staged, whole_text
 
 AT_ONCE = 4 << 20
 #: Rounds whose pieces are ordered together: about a million tokens.
@@ -32,6 +32,7 @@ def encoded(docs: DataFrame, path: str, *, end_id: int = 0, key: str = "doc_id",
             source: str = "source") -> DataFrame:
     """Staged tokens: ``row`` (unique), ``doc_id``, ``source``, ``n``, ``ids`` (zstandard, 16 or 32 bit)."""
 
+    small_batches(docs.sparkSession)
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, packer = bytebpe.loaded(path), zstandard.ZstdCompressor(level=1)
         end, step = np.array([end_id], model.dtype).tobytes(), model.dtype.itemsize

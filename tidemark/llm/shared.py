@@ -48,6 +48,17 @@ def free_shuffles(spark: SparkSession) -> None:
         time.sleep(0.4)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts are sized for workers with a few hundred MB, where the session keeps Spark's own sizes.
+
+    A batch is held some three times by the executor and its worker, so 10,000 texts of a few KB are too many.
+    """
+    for name, usual, ours in (("maxRecordsPerBatch", ("10000",), "1000"), ("maxBytesPerBatch", ("67108864b", "67108864", "64m", "64MB"), "8m")):
+        option = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(option, ours) in usual:
+            spark.conf.set(option, ours)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -17,7 +17,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import slices, whole_text
+from tidemark.llm.shared import slices, small_batches, whole_text
 
 MARK = "▁"
 #: Words a worker remembers beside the proved ones.
@@ -96,6 +96,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, text: str = "tex
     Other columns are not read, whatever their names.  ``path`` is a sentencepiece model that every worker can read.
     """
 
+    small_batches(docs.sparkSession)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(path)
         for batch in batches:

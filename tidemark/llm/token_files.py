@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytebpe
-from tidemark.llm.shared import folder, slices, staged, whole_text
+from tidemark.llm.shared import folder, slices, small_batches, staged, whole_text
 
 # Fixed values of the public seekable format and its skippable frames.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -116,6 +116,7 @@ def write_token_files(docs: DataFrame, path: str, *, end_id: int = 0, target: st
     alone; repeated rows are written as often as they occur; an empty table gives no file.  A retried or doubled
     task writes a file of another name, and only the one that the manifest names counts.
     """
+    small_batches(docs.sparkSession)
     target = target or folder(docs.sparkSession, "token-files")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
