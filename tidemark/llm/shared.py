@@ -40,12 +40,13 @@ def staged(df: DataFrame, label: str, compression: str = "zstd", free: bool = Fa
 def free_shuffles(spark: SparkSession) -> None:
     """Spark removes a shuffle's files once the driver has collected the plan that made them; ask for that now.
 
-    The second time is for plans that were still held by the events of the last job.
+    The second time is for plans that were still held by the events of the last job.  The files go in the background,
+    one shuffle after the other, so there is a short wait.
     """
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+        time.sleep(1.5)
 
 
 def small_batches(spark: SparkSession) -> None:
