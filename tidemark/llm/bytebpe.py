@@ -15,7 +15,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Words a worker remembers: about 200 bytes each.  Later words are encoded each time they occur.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Longer words are not remembered.
 LONGEST = 64
 #: A letter below this and one of these marks after it are always separate pre-tokens.

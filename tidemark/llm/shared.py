@@ -128,26 +128,31 @@ def _byte_values(lower: bool) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = _M(0xD6E8FEB86659FD93)
-    inverse = _M(pow(int(base), -1, 1 << 64))
-    up, down = np.full(n + 1, base), np.full(n + 1, inverse)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+def _powers(inverse: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base (or of its inverse) with exponents below 65,536, and the first multiples of that."""
+    base = 0xD6E8FEB86659FD93
+    base = pow(base, -1, 1 << 64) if inverse else base
+    low, high = np.full(1 << 16, _M(base)), np.full(1 << 12, _M(pow(base, 1 << 16, 1 << 64)))
+    low[0] = high[0] = 1
+    return np.cumprod(low, dtype=np.uint64), np.cumprod(high, dtype=np.uint64)
 
 
-def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(16, int(n).bit_length()))
+def _power(at: np.ndarray, inverse: bool = False) -> np.ndarray:
+    """The base's power for each place; places repeat after 2**28, far beyond any batch."""
+    low, high = _powers(inverse)
+    return low[at & 0xFFFF] * high[(at >> 16) & 0xFFF]
 
 
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each values[start:end], from one running sum."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers_of(len(values))
+    if len(values) >= 1 << 28:
+        raise ValueError("A run of rows must have fewer than 2**28 bytes.")
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD)
+    np.multiply(values, _power(np.arange(len(values), dtype=np.int32)), out=sums[1:])
+    np.cumsum(sums, out=sums)
+    return mixed((sums[ends] - sums[starts]) * _power(starts, inverse=True) + (ends - starts).astype(np.uint64) * _ODD)
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ from tidemark.llm.shared import slices, small_batches, whole_text
 
 MARK = "▁"
 #: Words a worker remembers beside the proved ones.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 LONGEST = 64
 #: Bytes of text handled at a time.
 AT_ONCE = 4 << 20
