@@ -33,8 +33,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the row with the smallest doc_id of each group of near duplicates."""
-    grouped = ngram_join.linked_groups(docs, SHINGLE, SIMILAR, carry=docs.columns)
-    return grouped.filter("first").select("carry.*")
+    others = [c for c in docs.columns if c != "text"]
+    missing = F.col("text").isNull().alias("_missing")
+    grouped = ngram_join.linked_groups(docs.select("*", missing), SHINGLE, SIMILAR, carry=[*others, "_missing"])
+    text = F.when(~F.col("carry._missing"), F.col("text"))
+    return grouped.filter("first").select(*[text.alias(c) if c == "text" else F.col(f"carry.{c}") for c in docs.columns])
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

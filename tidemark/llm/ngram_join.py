@@ -30,7 +30,7 @@ COMPARE = 0.1
 FEW = 4
 ROUNDS = 12
 
-SETS = ("row long, key long, n long, sign long, sign2 long, l int, prefix array<long>, tokens array<long>, carry {carry}")
+SETS = ("row long, key long, n long, sign long, sign2 long, l int, prefix array<long>, tokens array<long>, text string, carry {carry}")
 
 
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,13 +90,13 @@ def _sets(chunks: DataFrame, answers: DataFrame, size: int, percent: int) -> Dat
                         tokens[:length], tokens))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         made = [pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds]
-        return pa.table([docs.column("row"), docs.column("key"), *made, docs.column("carry")], names=[x.split()[0] for x in NAMES])
+        return pa.table([docs.column("row"), docs.column("key"), *made, text.cast(pa.string()), docs.column("carry")], names=[x.split()[0] for x in NAMES])
 
     sides = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
     return staged(sides.applyInArrow(make, kind), "shingle-sets", free=True)
 
 
-NAMES = ("row", "key", "n", "sign", "sign2", "l", "prefix", "tokens", "carry")
+NAMES = ("row", "key", "n", "sign", "sign2", "l", "prefix", "tokens", "text", "carry")
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def _in_prefix(x: str, y: str, percent: int) -> Column:
 
 def linked_groups(docs: DataFrame, size: int = 4, percent: int = 85, *, key: str = "doc_id", text: str = "text",
                   carry: list[str] = ()) -> DataFrame:
-    """``key``, n_shingles, component_id, first (is this the row that stands for its group), ``carry``, for every row.
+    """``key``, n_shingles, component_id, first (is this the row that stands for its group), text, ``carry``, for every row.
 
     A set holds the distinct shingles of ``size`` words, A-Z in lower case; a text with fewer words is one shingle,
     one without words (or missing) has none and is linked with nothing.  Rows link if 100 * shared >= ``percent``
@@ -172,12 +172,12 @@ def linked_groups(docs: DataFrame, size: int = 4, percent: int = 85, *, key: str
                    "distinct-sets")
     label = _groups(alone, percent)
     grouped = members.join(label.withColumnRenamed("node", "rep"), "rep").select("row", "label")
-    labelled = sets.select("row", "key", "n", "carry").join(grouped, "row", "left").withColumn("label", F.coalesce("label", "row"))
+    labelled = sets.select("row", "key", "n", "text", "carry").join(grouped, "row", "left").withColumn("label", F.coalesce("label", "row"))
     # Rows ascend with the key, so a group's first row has its smallest key; only rows without a key come before.
     ids = grouped.join(sets.select("row", "key"), "row").groupBy("label").agg(F.min("key").alias("id"))
     return labelled.join(ids, "label", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("id", "key").alias("component_id"),
-        (F.col("row") == F.col("label")).alias("first"), "carry")
+        (F.col("row") == F.col("label")).alias("first"), "text", "carry")
 
 
 def _groups(sets: DataFrame, percent: int) -> DataFrame:
