@@ -104,6 +104,29 @@ def test_window_models_reload_and_forecast(spark, tmp_path):
     assert table.count() == 2 and set(best) == {"maxIter", "maxDepth", "subsamplingRate", "stepSize"}
 
 
+def test_windows_without_validation_rows_and_in_two_phases(spark):
+    panel = daily(spark, {"a": walk(4, 14).tolist()})
+    windows = windowmodels.window_rows(panel, splits.holdout(0.2), 4)
+    assert windows.filter("validation").isEmpty()
+    model = windowmodels.fit_with_early_stop(windows, maxIter=3)
+    assert model.getNumTrees == 3
+    history = windowmodels.fit_history(model, windows, "fit").orderBy("epoch").collect()
+    assert [(r["epoch"], r["val_loss"]) for r in history] == [(1, None), (2, None), (3, None)]
+    assert windowmodels.random_search(windows, trials=1)[1].first()["val_loss"] >= 0
+    both = windowmodels.window_rows(panel, splits.two_phases(0.6, 0.2, 0.2), 4)
+    limits = both.groupBy("entity", "phase").agg(F.max("low").alias("low"), F.max("high").alias("high"))
+    ahead = windowmodels.forecast_windows(model, limits, panel, 2, 4)
+    assert ahead.count() == ahead.select("entity", "phase", "step").distinct().count() == 4
+
+
+def test_the_best_round_is_kept(spark):
+    assert windowmodels.best_round([3.0, 2.0, 2.5, 2.4, 1.0], patience=2) == 2
+    assert windowmodels.best_round([3.0, 2.0, 2.5, 1.0], patience=3) == 4
+    windows = windowmodels.window_rows(daily(spark, {"a": (10 + 3 * np.sin(np.arange(80))).tolist()}), splits.holdout(0.2), 4)
+    model = windowmodels.fit_with_early_stop(windows, maxIter=6)
+    assert model.getNumTrees > 1
+
+
 def test_sources_and_sinks(spark, tmp_path):
     rows = [("A", 2020, 1, 1.0, None, 2.5), ("B", 2020, 2, 1.0, 2.0, 3.5)]
     df = spark.createDataFrame(rows, "state string, year bigint, quarter bigint, pi_nt double, pi_t double, pi double")
@@ -125,21 +148,20 @@ def test_sources_and_sinks(spark, tmp_path):
 
 def test_run_records(spark, tmp_path):
     now = dt.datetime(2024, 5, 6, 7, 8, 9, 123456, tzinfo=dt.timezone.utc)
-    assert runs.new_run_id("ARIMA grid!", now) == "20240506T070809123456Z_arima-grid"
     from tidemark.operators.summary import series_metadata
 
     series = quarterly(spark, {"a": [1.0, 2.0, 3.0, 4.0]}).select("entity", "date", "value")
-    for run in ("run-001", "run-002"):
-        record = runs.run_record(
-            series_metadata(series), run_id=run, command="arima", family="Econometrics", name="ARIMA",
-            parameters={"order": "(1, 0, 1)"}, metrics={"rmse": 1.5}, now=now,
-        )
-        path = runs.append_run(record, str(tmp_path))
-    saved = spark.read.parquet(path).orderBy("run_id").collect()
-    assert [r["run"]["id"] for r in saved] == ["run-001", "run-002"]
-    assert saved[0]["data"]["n_observations"] == 4 and saved[0]["data"]["frequency"] == "QE-DEC"
-    assert saved[0]["model"]["name"] == "ARIMA" and saved[0]["metrics"] == {"rmse": 1.5}
-    assert saved[0]["run"]["created_at_utc"] == "2024-05-06T07:08:09Z"
+    for _ in range(2):
+        run = runs.Run("arima", "Econometrics", "ARIMA", {"order": (1, 0, 1), "season": None}, {"rmse": 1.5}, started=now)
+        path = runs.append_run(runs.registered(run, series_metadata(series)), str(tmp_path))
+    saved = spark.read.schema(runs.REGISTRY).parquet(path)
+    seen = saved.withColumn("at", F.unix_micros("started")).collect()
+    assert len({r["run_id"] for r in seen}) == 2 and run.key in {r["run_id"] for r in seen}
+    for r in seen:
+        assert (r["n_series"], r["n_observations"], r["n_missing"], r["frequency"]) == (1, 4, 0, "QE-DEC")
+        assert r["model"] == "ARIMA" and r["metrics"] == {"rmse": 1.5}
+        assert r["parameters"] == {"order": "(1, 0, 1)", "season": None}
+        assert r["at"] == round(now.timestamp() * 1e6)
 
 
 def test_python_code_travels_with_the_plan():

@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import axis
 from tidemark.operators.axis import Keys, as_list, attach, block_of, stage
 from tidemark.operators.lagmodels import spread_phases
 from tidemark.operators.linear import solve_batch
@@ -134,21 +133,24 @@ def _fit(panel: DataFrame, phases: Column, value: str, keys: list[str], changepo
     blocks = (
         train.withColumn("_block", block_of())
         .groupBy(*keys, "_block")
-        .agg(F.collect_list(F.struct(F.unix_date("date").alias("day"), F.col(value).alias("y"))).alias("entries"))
-        .join(setting, keys)
+        .agg(
+            F.min("rn").alias("rn"),
+            F.collect_list(F.struct(F.unix_date("date").alias("day"), F.col(value).alias("y"))).alias("entries"),
+        )
     )
+    facts = setting.select(*keys, "n", "first_day", "length", "scale", "changes", "yearly", "weekly")
+    joined = attach(blocks.drop("_block"), facts, keys=keys)
     columns = F.struct("first_day", "length", "scale", "changes", "yearly", "weekly")
-    partial = blocks.select(*keys, "fit_end", _partial(changepoints)("entries", columns).alias("sums"))
-    # One block per series needs no merging; longer series add their blocks up entry by entry.
-    single = partial.filter(F.col("fit_end") <= axis.BLOCK_ROWS).select(*keys, "sums")
-    several = partial.filter(F.col("fit_end") > axis.BLOCK_ROWS).select(*keys, F.posexplode("sums").alias("_i", "_s"))
+    partial = joined.select(*keys, _partial(changepoints)("entries", columns).alias("sums"))
+    # Blocks are added up entry by entry, with map-side sums.
     merged = (
-        several.groupBy(*keys, "_i")
+        partial.select(*keys, F.posexplode("sums").alias("_i", "_s"))
+        .groupBy(*keys, "_i")
         .agg(F.sum("_s").alias("_s"))
         .groupBy(*keys)
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_s"))), lambda e: e["_s"]).alias("sums"))
     )
-    solved = single.unionByName(merged).select(*keys, _solver(changepoints)("sums").alias("coef"))
+    solved = merged.select(*keys, _solver(changepoints)("sums").alias("coef"))
     return spans, stage(setting.join(solved, keys), "fits")
 
 

@@ -54,12 +54,14 @@ def _weights(count: int) -> np.ndarray:
     return shares / shares.sum()
 
 
-def candidate_grid(centre: tuple[Column, Column] | None, q: int, size: int = GRID) -> Column:
+def candidate_grid(centre: tuple[Column, Column] | None, q: int, size: int = GRID, refined: int = 1) -> Column:
     """Array of candidates (a, b): total weight of squared residuals and of past variances.
 
-    Around ``centre`` the step shrinks by the grid size.
+    Around ``centre`` the grid spans one step of the round before to each side, so each refinement divides the step by
+    half the grid size.
     """
     step = LARGEST_SUM / size
+    finer = step * (2 / size) ** refined
     a_axis = F.sequence(F.lit(0), F.lit(size))
     b_axis = F.sequence(F.lit(0), F.lit(size)) if q else F.array(F.lit(0))
 
@@ -67,8 +69,8 @@ def candidate_grid(centre: tuple[Column, Column] | None, q: int, size: int = GRI
         if centre is None:
             a, b = i * step, j * step
         else:
-            a = centre[0] + (i - size / 2) * (2 * step / size)
-            b = centre[1] + (j - size / 2) * (2 * step / size) if q else F.lit(0.0)
+            a = centre[0] + (i - size / 2) * finer
+            b = centre[1] + (j - size / 2) * finer if q else F.lit(0.0)
         return F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"))
 
     grid = F.flatten(F.transform(a_axis, lambda i: F.transform(b_axis, lambda j: point(i, j))))
@@ -105,6 +107,11 @@ def _blocks(rows: DataFrame, keys: list[str], p: int) -> DataFrame:
     )
 
 
+def _beside(blocks: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
+    """Per-series values (with the length ``n``) beside every block, joined on (series, block)."""
+    return attach(blocks.withColumn("rn", F.col("block") * axis.BLOCK_ROWS + 1), params, keys=keys).drop("rn")
+
+
 def _paths(entries, variance: float, cand: np.ndarray, p: int, q: int):
     """Squared residuals, shocks (time, candidate), lag weights and lags of one block."""
     table = np.array([tuple(e.values()) if isinstance(e, dict) else tuple(e) for e in entries], dtype=float)
@@ -117,7 +124,7 @@ def _paths(entries, variance: float, cand: np.ndarray, p: int, q: int):
 
 def _scored(blocks: DataFrame, keys: list[str], grids: DataFrame, p: int, q: int) -> DataFrame:
     """Log-likelihood of every candidate per series: keys, a, b, loglik, n, variance, start."""
-    joined = blocks.join(grids.select(*keys, "grid"), keys)
+    joined = _beside(blocks, grids.select(*keys, "n", "grid"), keys)
     if not q:
         states = joined.withColumn("carried", F.lit(None).cast("array<array<double>>"))
     else:
@@ -207,13 +214,13 @@ def fit_volatility(panel: DataFrame, p: int = 1, q: int = 0, value: str = "value
         raise ValueError("p must be at least 1 and q at least 0")
     keys = as_list(keys)
     blocks = stage(_blocks(residual_rows(panel, p, value, keys=keys), keys, p), "blocks")
-    whole = blocks.filter("block = 0").select(*keys)
+    whole = blocks.filter("block = 0").select(*keys, "n")
     best = None
     for round_number in range(refinements + 1):
         if best is None:
             grids = whole.withColumn("grid", candidate_grid(None, q))
         else:
-            grids = best.select(*keys, candidate_grid((F.col("a"), F.col("b")), q).alias("grid"))
+            grids = best.select(*keys, "n", candidate_grid((F.col("a"), F.col("b")), q, refined=round_number).alias("grid"))
         scored = _scored(blocks, keys, grids, p, q)
         rank = F.struct("loglik", (-F.col("a")).alias("_a"), (-F.col("b")).alias("_b"))
         top = scored.groupBy(*keys).agg(
@@ -236,8 +243,8 @@ def fit_volatility(panel: DataFrame, p: int = 1, q: int = 0, value: str = "value
 
 def volatility_path(panel: DataFrame, blocks: DataFrame, best: DataFrame, keys: list[str], p: int, q: int) -> DataFrame:
     """Conditional volatility of every row under each series' own parameters."""
-    grids = best.select(*keys, F.array(F.struct("a", "b")).alias("grid"))
-    joined = blocks.join(grids, keys)
+    grids = best.select(*keys, "n", F.array(F.struct("a", "b")).alias("grid"))
+    joined = _beside(blocks, grids, keys)
     states = _carried(joined, keys, p, q) if q else joined.withColumn(
         "carried", F.lit(None).cast("array<array<double>>")
     )

@@ -8,6 +8,7 @@ history, random search and reload for inference) is kept.
 from __future__ import annotations
 
 import random
+from collections.abc import Sequence
 from typing import Any
 
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
@@ -19,9 +20,10 @@ from tidemark.operators.features import lag_features, scale_width
 from tidemark.operators.lagmodels import spread_phases
 from tidemark.operators.trees import assembled
 
-# Internal validation share and the fewest windows that allow one.
+# Internal validation share, the fewest windows that allow one, and rounds without gain that end a fit.
 VALIDATION_SHARE = 0.1
 VALIDATION_MINIMUM = 10
+PATIENCE = 10
 
 
 def scaled_windows(panel: DataFrame, phases: Column, look_back: int = 4, value: str = "value", *,
@@ -62,27 +64,50 @@ def window_rows(panel: DataFrame, phases: Column, look_back: int = 4, value: str
 
 
 def regressor(seed: int = 42, **settings: Any) -> GBTRegressor:
-    chosen = {"maxIter": 40, "stepSize": 0.1, "maxDepth": 3, "validationTol": 0.01, **settings}
-    return GBTRegressor(
-        featuresCol="features", labelCol="label", predictionCol="scaled", validationIndicatorCol="validation",
-        seed=seed, **chosen
-    )
+    chosen = {"maxIter": 40, "stepSize": 0.1, "maxDepth": 3, **settings}
+    return GBTRegressor(featuresCol="features", labelCol="label", predictionCol="scaled", seed=seed, **chosen)
+
+
+def learned_and_held(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The fit rows without their validation part, and that part where there is one."""
+    fit = rows.filter("part = 'fit'")
+    held = fit.filter("validation")
+    return fit.filter("NOT validation"), None if held.isEmpty() else held
+
 
+def best_round(losses: Sequence[float], patience: int) -> int:
+    """The round with the lowest loss, looking no further than ``patience`` rounds without a lower one."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
 
-def fit_with_early_stop(rows: DataFrame, **settings: Any) -> GBTRegressionModel:
-    """Train on the fit rows; stop when the internal validation loss no longer improves."""
-    return regressor(**settings).fit(rows.filter("part = 'fit'"))
+
+def fit_with_early_stop(rows: DataFrame, patience: int = PATIENCE, **settings: Any) -> GBTRegressionModel:
+    """Train on the fit rows and keep the rounds up to the lowest internal validation loss.
+
+    Without validation rows every round stays.  A round depends on those before it only, so the rounds to keep are
+    trained again by themselves.
+    """
+    learned, held = learned_and_held(rows)
+    model = regressor(**settings).fit(learned)
+    if held is None:
+        return model
+    kept = best_round(model.evaluateEachIteration(held, "squared"), patience)
+    return model if kept == model.getNumTrees else regressor(**{**settings, "maxIter": kept}).fit(learned)
 
 
 def fit_history(model: GBTRegressionModel, rows: DataFrame, phase: str) -> DataFrame:
-    """Loss after every round on training and validation rows: epoch, loss, val_loss, phase."""
-    spark = rows.sparkSession
-    fit = rows.filter("part = 'fit'")
-    loss = model.evaluateEachIteration(fit.filter("NOT validation"), "squared")
-    held = model.evaluateEachIteration(fit.filter("validation"), "squared")
+    """Loss after every round on training and validation rows: epoch, loss, val_loss (null without such rows), phase."""
+    learned, held = learned_and_held(rows)
+    loss = model.evaluateEachIteration(learned, "squared")
+    other = [None] * len(loss) if held is None else model.evaluateEachIteration(held, "squared")
     # One entry per boosting round.
-    table = [(i + 1, float(a), float(b), phase) for i, (a, b) in enumerate(zip(loss, held))]
-    return spark.createDataFrame(table, "epoch int, loss double, val_loss double, phase string")
+    table = [(i + 1, float(a), None if b is None else float(b), phase) for i, (a, b) in enumerate(zip(loss, other))]
+    return rows.sparkSession.createDataFrame(table, "epoch int, loss double, val_loss double, phase string")
 
 
 def stack_histories(histories: dict[str, DataFrame]) -> DataFrame:
@@ -119,20 +144,20 @@ def random_settings(trials: int, seed: int) -> list[dict[str, Any]]:
 
 
 def random_search(rows: DataFrame, trials: int = 10, executions: int = 1, seed: int = 42) -> tuple[dict[str, Any], DataFrame]:
-    """Try random settings; the lowest mean loss on the last part in time order wins.
+    """Try random settings; the lowest mean loss on the last part in time order wins (on all rows where none are held back).
 
     Returns the best settings and one row per trial.  The loop is over trials; every fit and
     evaluation is a distributed job.
     """
     if trials < 1 or executions < 1:
         raise ValueError("trials and executions must be at least 1")
-    fit = rows.filter("part = 'fit'")
+    learned, held = learned_and_held(rows)
     table = []
     for trial, settings in enumerate(random_settings(trials, seed), start=1):
         losses = []
         for execution in range(executions):
-            model = regressor(seed=seed + execution, **settings).fit(fit)
-            scored = model.transform(fit.filter("validation"))
+            model = regressor(seed=seed + execution, **settings).fit(learned)
+            scored = model.transform(learned if held is None else held)
             losses.append(scored.agg(F.avg(F.pow(F.col("scaled") - F.col("label"), 2))).first()[0])
         table.append((trial, settings["maxIter"], settings["maxDepth"], settings["subsamplingRate"],
                       settings["stepSize"], sum(losses) / len(losses)))

@@ -19,7 +19,7 @@ from tidemark.plans.sqlmodels import PHASES, lag_ctes, order_ctes, phases_cte
 
 W = "WITH "
 LINEAR = ["arima", "arma", "linear_regression", "arimax"]
-LINEAR_CONFIG = ArenaConfig(arima_order=(2, 0, 0), arma_order=(1, 0))
+LINEAR_CONFIG = ArenaConfig(settings={"arima": {"order": (2, 0, 0)}, "arma": {"order": (1, 0)}})
 
 
 def _board_sql() -> str:
@@ -97,7 +97,7 @@ def _isolation_sql() -> str:
 def model_isolation(spark, folder):
     """Outcomes of several families on short daily series: scored, failed for a series, skipped."""
     panel = P.user_series(spark, folder)
-    config = ArenaConfig(sarima_seasonal_order=(1, 1, 0, 7))
+    config = ArenaConfig(settings={"sarima": {"seasonal": (1, 1, 0, 7)}})
     board = arena.run(panel, ["arima", "sarima", "trend_fourier", "window_linear", "arimax"], config).board
     return board.groupBy("model_key", "status").agg(F.count(F.lit(1)).alias("series"))
 

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import quality, summary
 from tidemark.operators.axis import shared_folder, stage
 from tidemark.plans import panels as P
 from tidemark.plans.describe import ISSUES
-from tidemark.plans.learners import _board_sql, linear_arena
+from tidemark.plans.learners import LINEAR, LINEAR_CONFIG, _board_sql, linear_arena
 from tidemark.plans.prepare import PREDICTIONS, predictions_panel
 from tidemark.plans.registry import query
 from tidemark.sources import runs, tables
 
 
 def _place(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/{runs.new_run_id(name)}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query(
@@ -25,7 +27,7 @@ def _place(spark, name: str) -> str:
 def write_table(spark, folder):
     rows = predictions_panel(spark, folder)
     place = _place(spark, "predictions")
-    tables.write_table(rows, place, name="predictions", run_id=runs.new_run_id("predictions"))
+    tables.write_table(rows, place, name="predictions", run_id=uuid.uuid4().hex)
     back = spark.read.schema("entity string, date date, actual double, phase string, model_key string, run_id string")
     return back.parquet(f"{place}/predictions").drop("run_id")
 
@@ -52,15 +54,11 @@ def write_report(spark, folder):
 )
 def run_registry(spark, folder):
     metadata = summary.series_metadata(stage(P.dated(P.price_panel(spark, folder))))
-    run_id = runs.new_run_id("arena")
-    record = runs.run_record(
-        metadata, run_id=run_id, command="arena", family="Econometrics", name="ARIMA",
-        parameters={"order": (2, 0, 0)}, source="lineitem", target="pi", artifacts={"board": "leaderboard"},
-    )
-    path = runs.append_run(record, _place(spark, "registry"))
-    saved = spark.read.schema(record.schema).parquet(path).filter(F.col("run_id") == run_id)
-    facts = [f"data.{c}" for c in ("n_observations", "n_missing", "date_start", "date_end", "frequency")]
-    return saved.select("run.command", "model.family", F.col("model.parameters.order").alias("order"), *facts)
+    run = runs.Run("arena", "Econometrics", "ARIMA", {"order": (2, 0, 0)}, notes={"source": "lineitem", "target": "pi"})
+    path = runs.append_run(runs.registered(run, metadata), _place(spark, "registry"))
+    saved = spark.read.schema(runs.REGISTRY).parquet(path).filter(F.col("run_id") == run.key)
+    facts = ["n_observations", "n_missing", "date_start", "date_end", "frequency"]
+    return saved.select("command", "family", F.col("parameters.order").alias("order"), *facts)
 
 
 @query(
@@ -70,10 +68,9 @@ def run_registry(spark, folder):
 )
 def export_bundle(spark, folder):
     result = linear_arena(spark, folder)
-    run_id = runs.new_run_id("arena")
-    paths = runs.export_bundle(
-        result.board, result.predictions, {"dataset": "price changes", "run_id": run_id}, _place(spark, "bundle"), run_id=run_id
-    )
+    settings = {key: LINEAR_CONFIG.of(key) for key in LINEAR}
+    run = runs.Run("arena", parameters=settings, notes={"dataset": "price changes"})
+    paths = runs.export_bundle(result.board, result.predictions, run, _place(spark, "bundle"))
     lines = spark.read.text(paths["bundle"])
     part = F.get_json_object("value", "$.part")
     return lines.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows"))
