@@ -293,6 +293,25 @@ def test_equal_texts_share_a_shard(spark):
     assert all(len(s) == 1 for s in where.values())
 
 
+def test_shards_hold_whole_rows(spark, tmp_path, monkeypatch):
+    """Text and all other columns lie in the shards, also of rows whose doc_id is missing or repeated."""
+    monkeypatch.setattr(sharding, "TASK_BYTES", 2000)
+    texts = [*sentences(31, 200), *["same text"] * 60, None, ""]
+    ids = [(None, 7, k)[k % 3] for k in range(len(texts))]
+    docs = frame(spark, texts, ids=ids, sources=[f"s{k}" for k in range(len(texts))]).repartition(3)
+    rows = sharding.shard_by_bytes(docs, 4, target=f"file://{tmp_path}/out").collect()
+    assert Counter(tuple(r["carry"]) for r in rows) == Counter(tuple(r) for r in docs.collect())
+    slots = defaultdict(list)
+    for r in rows:
+        whole = (r["carry"]["text"] or "").encode()
+        assert (r["doc_id"], r["size"], r["text_crc32"]) == (r["carry"]["doc_id"], len(whole) + 8, zlib.crc32(whole))
+        slots[r["shard"]].append((r["slot"], r["carry"]["source"]))
+    for k, held in slots.items():
+        assert [slot for slot, _ in sorted(held)] == list(range(len(held)))
+        files = spark.read.parquet(f"file://{tmp_path}/out/shard={k}").orderBy("at").collect()
+        assert [r["carry"]["source"] for r in files] == [source for _, source in sorted(held)]
+
+
 @pytest.mark.parametrize("weights", [None, {"a": 3.0, "b": 1.0}])
 def test_packing(spark, odd_texts, weights):
     texts = [*odd_texts, *sentences(12, 80)]

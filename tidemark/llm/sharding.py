@@ -3,8 +3,9 @@
 Rows are ordered by (hash of the text, doc_id).  The splitters between shards are found without
 moving rows: each round counts the exact bytes below 256 probes inside every interval that still
 holds a splitter, keeps the best probe or narrows the interval to the one of 256 parts that holds
-the target, until every splitter meets the tolerance.  Then rows are exchanged once.  Equal texts
-stay together, except for a group too large for the tolerance, which doc_id splits.
+the target, until every splitter meets the tolerance.  Then whole rows, text and all other columns,
+are exchanged once and written, each shard in a folder of its own.  Equal texts stay together, except
+for a group too large for the tolerance, which doc_id splits.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import parts_for, staged, whole_text
+from tidemark.llm.shared import folder, parts_for, staged, whole_text
 
 #: Bits of the key that one round of probes looks at.
 BITS = 8
-#: Rows numbered together in the one exchange.
-SLOT_ROWS = 65_536
+#: Bytes of text in a task of the one exchange.
+TASK_BYTES = 16 << 20
 
 
 @dataclass
@@ -109,35 +110,42 @@ def _cut_after(s: Splitter, column: str, own: list, depth: int, fixed: int | Non
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 24, *, overhead: int = 8, tolerance: float = 0.02,
-                   key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, size, text_crc32, shard, slot for every row; ``overhead`` bytes are charged for each.
+                   key: str = "doc_id", text: str = "text", target: str | None = None) -> DataFrame:
+    """``key``, size, text_crc32, shard, slot, carry (a struct of all columns of ``docs``) for every row, read from the written shards.
 
-    ``tolerance`` is how far, as a part of a mean shard, a splitter may lie from its place.  A missing text has
-    no bytes and is one with the empty text; a missing key is ordered as the smallest; repeated rows are all
-    kept and cannot be told apart; an empty table gives no rows.
+    A shard's whole rows are the Parquet files of ``target``/shard=N, in the order of their slots (``at`` ascends
+    with them); ``overhead`` bytes are charged for each row.  ``tolerance`` is how far, as a part of a mean shard, a
+    splitter may lie from its place.  A missing text has no bytes and is one with the empty text; a missing key is
+    ordered as the smallest; repeated rows are all kept with their own columns; an empty table gives no rows.
     """
-    whole = whole_text(text)
-    keyed = docs.select(
-        F.col(key).alias("key"), (F.octet_length(whole) + overhead).cast("long").alias("size"),
-        F.crc32(whole.cast("binary")).alias("text_crc32"), F.xxhash64(whole).alias("high"),
-        F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("low"), F.monotonically_increasing_id().alias("row"))
-    rows = staged(keyed, "shard-keys")
+    spark, target = docs.sparkSession, target or folder(docs.sparkSession, "shards")
+
+    def size(whole: Column) -> Column:
+        return (F.octet_length(whole) + overhead).cast("long").alias("size")
+
+    place = [F.xxhash64(whole_text(text)).alias("high"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("low")]
+    keys = staged(docs.select(*place, size(whole_text(text))), "shard-keys")
     shard = F.lit(0)
-    for s in splitters(rows, shards, tolerance):
+    for s in splitters(keys, shards, tolerance):
         if s.high is None:
             continue
         past = F.col("high") >= F.lit(s.high)
         if s.low is not None:
             past = (F.col("high") > F.lit(s.high)) | ((F.col("high") == F.lit(s.high)) & (F.col("low") >= F.lit(s.low)))
         shard = shard + past.cast("int")
-    pieces = parts_for(rows.count(), SLOT_ROWS * shards)
-    dealt = rows.withColumn("shard", shard).withColumn("piece", F.pmod(F.xxhash64("row"), F.lit(pieces)))
-    counts = dealt.groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "piece", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("shard", "piece").orderBy("row")
-    return (
-        dealt.withColumn("inside", F.row_number().over(inside) - 1)
-        .join(offsets, ["shard", "piece"])
-        .select(F.col("key").alias(key), "size", "text_crc32", "shard", (F.col("before") + F.col("inside")).alias("slot"))
-    )
+    # Shards ascend with the key, so ranges of it lie in one shard or few; ``row`` parts rows with one key.
+    order = ["high", "low", "row"]
+    whole = docs.select(*place, F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(c) for c in docs.columns]).alias("carry"))
+    pieces = parts_for(keys.agg(F.sum("size")).first()[0], TASK_BYTES)
+    ranged = whole.repartitionByRange(max(shards, pieces), *order).sortWithinPartitions(*order)
+    ranged.select(F.monotonically_increasing_id().alias("at"), "carry", shard.alias("shard")).write.partitionBy("shard").parquet(target)
+    written = spark.read.schema(f"at long, carry {whole.schema['carry'].dataType.simpleString()}, shard int").parquet(target)
+
+    part = F.shiftright("at", 33).alias("part")
+    counts = written.groupBy("shard", part).agg(F.min("at").alias("start"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = staged(counts.select("shard", "part", "start", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), "shard-offsets")
+    read = whole_text(f"carry.{text}")
+    rows = written.select(F.col(f"carry.{key}").alias("key"), size(read), F.crc32(read.cast("binary")).alias("text_crc32"), "shard", "at", part, "carry")
+    return rows.join(F.broadcast(offsets), ["shard", "part"]).select(  # a row for each task and shard in it
+        F.col("key").alias(key), "size", "text_crc32", "shard", (F.col("before") + F.col("at") - F.col("start")).alias("slot"), "carry")
