@@ -8,11 +8,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from tidemark.llm import decontamination, html_text, language, ngram_join, packing, quality, sharding, substrings, token_counts
+from tidemark.llm import (census, decontamination, html_text, language, ngram_join, packing, quality, sharding, shared, substrings,
+                          token_counts)
 from tidemark.llm.bytebpe import ByteBpe
 from tidemark.llm.queries import BYTE_BPE, PIECE_BPE
 from tidemark.llm.token_files import Reader, read_token_files, write_token_files
@@ -203,6 +205,54 @@ def test_equal_and_missing_keys_take_nothing(spark):
     assert len(rows) == 4 and lost[1] == 0 and lost[None] == 0 and lost[2] == len(text.split())
 
 
+@pytest.mark.parametrize("size", [1, 4])
+def test_keys_that_fill_chunks(spark, monkeypatch, size):
+    """Rows of one key (or without one) are split over chunks and tasks; equal keys still take nothing from each other."""
+    monkeypatch.setattr(census, "CHUNK", 600)
+    texts = [*sentences(41, 60, 30), *sentences(41, 60, 30), *sentences(43, 30, 30), ""]
+    random.Random(1).shuffle(texts)
+    ids = [(None, 7, 7, k, 8)[k % 5] for k in range(len(texts))]
+    chunks = census.chunked(frame(spark, texts, ids=ids).repartition(4), "doc_id", "text").collect()
+    held = defaultdict(list)
+    for r in sorted(chunks, key=lambda r: r["row"]):
+        held[r["chunk"]].append(len(r["text"]) + census.ROW)
+    assert all(len(x) == 1 or sum(x) <= 600 for x in held.values())
+    for key in (None, 7, 8):
+        assert len({r["chunk"] for r in chunks if r["key"] == key}) > 3
+    keys = [-1 if r["key"] is None else r["key"] for r in sorted(chunks, key=lambda r: r["row"])]
+    assert keys == sorted(keys) and len(keys) == len(texts)
+    first = {}
+    for i, t in zip(ids, texts):
+        for win in windows(t, size)[1] if i is not None else ():
+            first[win] = min(i, first.get(win, i))
+    expected = Counter()
+    for i, t in zip(ids, texts):
+        w, wins = windows(t, size)
+        gone = {p for k, win in enumerate(wins) if i is not None and first[win] < i for p in range(k, k + size)}
+        expected[i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)] += 1
+    rows = substrings.remove_repeated(frame(spark, texts, ids=ids).repartition(4), size).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in rows) == expected
+    assert sum(n > 0 for _, _, n, _ in expected) > 5
+    linked = ngram_join.linked_groups(frame(spark, texts, ids=ids), 4, 85).collect()
+    assert len(linked) == len(texts) and sum(r["first"] for r in linked) == len(set(texts))
+
+
+def test_long_runs_are_hashed_in_blocks(monkeypatch):
+    words = pa.array(["ab cd", "x" * 50 + " ab", "", "cd ab\ncd"])
+    whole = shared.word_hashes(words)
+    monkeypatch.setattr(shared, "BLOCK", 7)
+    for a, b in zip(whole, shared.word_hashes(words)):
+        assert a.tolist() == b.tolist()
+    base = 0xD6E8FEB86659FD93
+    at = np.array([5, (1 << 28) - 1, 1 << 28, (3 << 28) + 70_001])
+    assert shared._power(at).tolist() == [pow(base, int(k), 1 << 64) for k in at]
+    assert (shared._power(at) * shared._power(at, inverse=True)).tolist() == [1] * 4
+    far = np.broadcast_to(np.uint8(0), (1 << 28) + 9)  # more than 2**28 values
+    monkeypatch.setattr(shared, "BLOCK", 1 << 22)
+    a, b = shared.run_hashes(far, np.array([3, 1 << 28]), np.array([9, (1 << 28) + 6]), shared._byte_values(False))
+    assert a == b
+
+
 def test_leaks_as_brute_force(spark, odd_texts):
     items = [" ".join(t.split()[:30]) for t in sentences(11, 6, 50)] + ["one two", None, ""]
     items = [t if t is None or len(t.split()) != 1 else t for t in items]

@@ -18,6 +18,8 @@ from tidemark.operators.axis import shared_folder
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one group of a prefix sum.
 GROUP = 4096
+#: Values hashed at a time.
+BLOCK = 1 << 22
 
 
 def folder(spark: SparkSession, label: str) -> str:
@@ -138,21 +140,36 @@ def _powers(inverse: bool) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _power(at: np.ndarray, inverse: bool = False) -> np.ndarray:
-    """The base's power for each place; places repeat after 2**28, far beyond any batch."""
+    """The base's power for each place, of any text."""
     low, high = _powers(inverse)
-    return low[at & 0xFFFF] * high[(at >> 16) & 0xFFF]
+    out = low[at & 0xFFFF] * high[(at >> 16) & 0xFFF]
+    if len(at) and at.max() >= 1 << 28:
+        most = _M(int(high[-1]) * int(high[1]) & (1 << 64) - 1)
+        rare = np.full((int(at.max()) >> 28) + 1, most)
+        rare[0] = 1
+        out *= np.cumprod(rare, dtype=np.uint64)[at >> 28]
+    return out
 
 
-def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each values[start:end], from one running sum."""
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each values[start:end] (or of ``table`` at these values), from one running sum; starts and ends ascend.
+
+    The sum goes block by block and is kept where a run starts or ends, so long texts need no array of their length.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    if len(values) >= 1 << 28:
-        raise ValueError("A run of rows must have fewer than 2**28 bytes.")
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.multiply(values, _power(np.arange(len(values), dtype=np.int32)), out=sums[1:])
-    np.cumsum(sums, out=sums)
-    return mixed((sums[ends] - sums[starts]) * _power(starts, inverse=True) + (ends - starts).astype(np.uint64) * _ODD)
+    sums, total = np.empty((2, len(starts)), np.uint64), _M(0)
+    for a in range(0, len(values) + 1, BLOCK):
+        block = values[a:a + BLOCK]
+        running = np.empty(len(block) + 1, np.uint64)
+        running[0] = total
+        np.multiply(block if table is None else table[block], _power(np.arange(a, a + len(block))), out=running[1:])
+        np.cumsum(running, out=running)
+        total = running[-1]
+        for points, out in zip((starts, ends), sums):
+            i, j = np.searchsorted(points, (a, a + BLOCK))
+            out[i:j] = running[points[i:j] - a]
+    return mixed((sums[1] - sums[0]) * _power(starts, inverse=True) + (ends - starts).astype(np.uint64) * _ODD)
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +194,7 @@ def word_hashes(texts: pa.Array, lower: bool = False):
     cuts = cuts[(inside[cuts] == 1) & (inside[cuts + 1] == 1)]
     starts = np.sort(np.concatenate([np.flatnonzero(step == 1), cuts]))
     ends = np.sort(np.concatenate([np.flatnonzero(step == -1), cuts]))
-    hashes = run_hashes(_byte_values(lower)[data], starts, ends)
+    hashes = run_hashes(data, starts, ends, _byte_values(lower))
     return hashes, starts, ends, np.searchsorted(starts, offsets)
 
 

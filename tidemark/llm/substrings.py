@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.census import Answers, SENT, all_windows, bucket_bits, chunked, distinct_documents, parcels, repeated
+from tidemark.llm.census import Answers, SENT, all_windows, bucket_bits, chunked, parcels, repeated
 from tidemark.llm.shared import _SPACES, staged, text_bytes, window_hashes, word_hashes
 
 
@@ -55,18 +55,20 @@ def _both_halves(chunk: Chunk, short: int, long: int, answers: Answers) -> tuple
 def _extended(chunks: DataFrame, answers: DataFrame, short: int, long: int, bits: int) -> DataFrame:
     def extend(docs: pa.Table, back: pa.Table) -> pa.Table:
         if not docs.num_rows or not back.num_rows:
-            return pa.table(parcels(0, np.zeros(0, np.uint64), np.zeros(0, np.uint32), 0).to_pydict(), schema=_SENT)
+            return _SENT.empty_table()
         docs = docs.sort_by("row").combine_chunks()
-        chunk = Chunk(_one(docs.column("text")), _one(docs.column("key")))
+        keys = _one(docs.column("key"))
+        chunk = Chunk(_one(docs.column("text")), keys)
         at, hashes = _both_halves(chunk, short, long, Answers(back))
-        own = parcels(docs.column("chunk")[0].as_py(), *distinct_documents(hashes, chunk.row[at]), bits)
+        own = parcels(docs.column("chunk")[0].as_py(), hashes, chunk.row[at], keys, bits)
         return pa.Table.from_batches([own])
 
     sides = chunks.select("chunk", "row", "key", "text").groupBy("chunk").cogroup(answers.groupBy("chunk"))
     return sides.applyInArrow(extend, SENT)
 
 
-_SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+_SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary()),
+                   ("tail", pa.binary()), ("first", pa.int64()), ("last", pa.int64())])
 
 
 def _one(column: pa.ChunkedArray) -> pa.Array:
@@ -131,7 +133,10 @@ def remove_repeated(docs: DataFrame, words: int = 13, *, key: str = "doc_id", te
         new[1:] = hashes[order][1:] != hashes[order][:-1]
         smallest = np.empty(len(order), np.int64)
         smallest[order] = own[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else own
-        flagged = at[found.earlier[place] | (smallest < own)]
+        # Nor has an earlier chunk that only holds it in rows of the key this chunk begins with.
+        head = ids[keys.null_count] if keys.null_count < len(ids) else 0
+        earlier = found.earlier[place]
+        flagged = at[(earlier == 1) | (earlier == 2) & (own > head) | (smallest < own)]
         cover = np.zeros(len(chunk.words) + 1, np.int64)
         np.add.at(cover, flagged, 1)
         np.add.at(cover, flagged + words, -1)
