@@ -52,10 +52,11 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
-    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    leaked = staged(found.select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
+    """Drop rows that hold a benchmark item; other rows with the same doc_id, or also without one, stay."""
+    rows = decontamination.numbered(docs)
+    found = decontamination.found_rows(rows.select("row", "carry.text"), table(spark, sf_dir, "benchmark"))
+    leaked = staged(found.select("row").distinct(), "leaked")
+    return rows.join(leaked, "row", "left_anti").select("carry.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

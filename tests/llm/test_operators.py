@@ -282,6 +282,24 @@ def test_leaks_as_brute_force(spark, odd_texts):
     assert found == pytest.approx(expected) and len(expected) >= 4
 
 
+def test_leaks_are_told_by_row(spark, tmp_path):
+    """Rows that share a doc_id, or have none, with a row that leaks are kept; each row gets its own windows only."""
+    import corpus_pipeline as pipeline
+
+    items = [" ".join(t.split()[:30]) for t in sentences(51, 8, 60) if len(t.split()) >= 30][:2]
+    clean = sentences(52, 12)
+    texts = [*clean, f"{clean[0]} {items[0]} {clean[1]}", f"{clean[2]} {items[1]} {clean[3]}", f"{clean[4]} {clean[5]} {items[0]}"]
+    ids = [(None, 7, k)[k % 3] for k in range(12)] + [None, 7, None]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = frame(spark, texts, ids=ids)
+    kept = pipeline.without_leaks(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and sorted(r["text"] for r in kept.collect()) == sorted(clean)
+    found = decontamination.contaminated(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).collect()
+    starts = [len(clean[0].split()), len(clean[2].split()), len(f"{clean[4]} {clean[5]}".split())]
+    assert {(r["doc_id"], r["item_id"], r["start"]) for r in found} == {(None, 0, min(starts[0], starts[2])), (7, 1, starts[1])}
+    assert len(found) == 2 and all(r["similarity"] == 1 for r in found)
+
+
 def test_main_text():
     page = """<html><head><title>T</title><script>var a="</p><p>no";</script></head><body><header>Site</header>
       <nav><ul><li><a href="/">Home</a><li><a href=x>More</a></ul></nav><div class="cookie-notice">We use cookies, many of them.</div>

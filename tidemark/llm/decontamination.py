@@ -70,48 +70,61 @@ def benchmark_items(benchmark: DataFrame, size: int, key: str, text: str) -> Dat
     return staged(shingled.select("*", weighted(F.col("shingles")).alias("marks"), simhash(F.col("shingles")).alias("print")), "benchmark")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """Staged ``row`` (unique) and ``carry`` (a struct of all columns): rows are told apart whatever their keys are."""
+    return staged(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(c) for c in docs.columns]).alias("carry")), "numbered")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, size: int = 5, least: float = 0.8, key: str = "doc_id", text: str = "text",
                  item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """``key``, ``item_id``, start (words before the best window), similarity: each document and item found in it, once.
 
     Words are compared in lower case; an item shorter than ``size`` words is one shingle.  Missing and empty texts
-    hold nothing and items without words are found nowhere; repeated rows of a document count as one; a document
-    without a key is found under the missing key; empty tables give an empty result.
+    hold nothing and items without words are found nowhere; every row is searched by itself, then repeated rows of a
+    document count as one; a document without a key is found under the missing key; empty tables give an empty result.
     """
+    whole = numbered(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
+    found = staged(found_rows(whole.select("row", "carry.text"), benchmark, size=size, least=least, item_key=item_key, item_text=item_text), "found")
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("first"))).alias("best")
+    return whole.select("row", "carry.key").join(found, "row").groupBy("key", "item_id").agg(best).select(
+        F.col("key").alias(key), "item_id", (-F.col("best.first")).alias("start"), F.col("best.similarity").alias("similarity"))
+
+
+def found_rows(rows: DataFrame, benchmark: DataFrame, *, size: int = 5, least: float = 0.8, item_key: str = "item_id",
+               item_text: str = "text") -> DataFrame:
+    """``row``, ``item_id``, start, similarity of a staged table with ``row`` (unique) and ``text``: each row and item found in it, once."""
     items = benchmark_items(benchmark, size, item_key, item_text)
-    rows = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"))
-    hashed = rows.select("key", let(words_of(F.col("text")), lambda w: F.transform(w, lambda x: F.xxhash64(x))).alias("h"))
+    hashed = rows.select("row", let(words_of(whole_text("text")), lambda w: F.transform(w, lambda x: F.xxhash64(x))).alias("h"))
     steps = [r["step"] for r in items.select("step").distinct().collect()]  # at most ``size`` numbers
     spots = items.select("m", "step", F.posexplode("shingles").alias("at", "shingle")).distinct()
     found = None
     for step in steps:
-        places = hashed.select("key", F.posexplode(let(F.col("h"), lambda h: shingle_hashes(h, step))).alias("place", "shingle"))
+        places = hashed.select("row", F.posexplode(let(F.col("h"), lambda h: shingle_hashes(h, step))).alias("place", "shingle"))
         own = staged(spots.filter(F.col("step") == step).drop("step"), "benchmark-shingles")
-        hits = places.join(_small(own), "shingle").select("key", "m", (F.col("place") - F.col("at")).alias("start")).filter("start >= 0")
+        hits = places.join(_small(own), "shingle").select("row", "m", (F.col("place") - F.col("at")).alias("start")).filter("start >= 0")
         hits = hits.distinct().withColumn("step", F.lit(step))
         found = hits if found is None else found.union(hits)
     if found is None:
-        return rows.select("key").limit(0).select(F.col("key").alias(key), F.lit(None).cast(benchmark.schema[item_key].dataType).alias("item_id"),
-                                                  F.lit(0).alias("start"), F.lit(0.0).alias("similarity"))
+        return rows.select("row").limit(0).select("row", F.lit(None).cast(benchmark.schema[item_key].dataType).alias("item_id"),
+                                           F.lit(0).alias("start"), F.lit(0.0).alias("similarity"))
     found = staged(found, "benchmark-hits")
-    lists = found.groupBy("key").agg(F.collect_list(F.struct("m", "step", "start")).alias("spots"))
-    spread = hashed.join(lists, hashed["key"].eqNullSafe(lists["key"])).select(hashed["key"], "h", F.explode("spots").alias("s"))
+    lists = found.groupBy("row").agg(F.collect_list(F.struct("m", "step", "start")).alias("spots"))
+    spread = hashed.join(lists, "row").select("row", "h", F.explode("spots").alias("s"))
     inside = spread.filter(F.col("s.start") + F.col("s.m") <= F.size("h"))
-    windows = inside.select("key", "s.m", "s.step", "s.start", F.slice("h", F.col("s.start") + 1, F.col("s.m")).alias("w"))
-    windows = windows.select("key", "m", "start", let(F.col("w"), lambda w: shingle_hashes(w, F.col("step"))).alias("shingles"))
+    windows = inside.select("row", "s.m", "s.step", "s.start", F.slice("h", F.col("s.start") + 1, F.col("s.m")).alias("w"))
+    windows = windows.select("row", "m", "start", let(F.col("w"), lambda w: shingle_hashes(w, F.col("step"))).alias("shingles"))
     windows = staged(windows, "windows").select("*", simhash(F.col("shingles")).alias("print"))
     windows = staged(windows.select("*", weighted(F.col("shingles")).alias("marks")).drop("shingles"), "windows")
 
-    left = windows.select("key", "m", "start", "print", F.inline(blocks(F.col("print"))))
+    left = windows.select("row", "m", "start", "print", F.inline(blocks(F.col("print"))))
     right = items.select("item_id", "m", F.col("print").alias("item_print"), F.inline(blocks(F.col("print"))))
     near = left.join(_small(right), ["m", "block", "bits"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    pairs = near.select("key", "m", "start", "item_id").distinct()
-    both = pairs.join(windows.select(F.col("key").alias("k"), F.col("m").alias("n"), F.col("start").alias("s"), "marks").distinct(),
-                      F.col("key").eqNullSafe(F.col("k")) & (F.col("m") == F.col("n")) & (F.col("start") == F.col("s")))
+    pairs = near.select("row", "m", "start", "item_id").distinct()
+    both = pairs.join(windows.select("row", "m", "start", "marks"), ["row", "m", "start"])
     both = both.join(_small(items.select("item_id", F.col("marks").alias("item_marks"))), "item_id")
     shared = F.size(F.array_intersect("marks", "item_marks"))
     total = F.size("marks") + F.size("item_marks")
-    scored = both.select("key", "item_id", "start", (shared / (total - shared)).alias("similarity")).filter(F.col("similarity") >= least)
+    scored = both.select("row", "item_id", "start", (shared / (total - shared)).alias("similarity")).filter(F.col("similarity") >= least)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("first"))).alias("best")
-    return scored.groupBy("key", "item_id").agg(best).select(
-        F.col("key").alias(key), "item_id", (-F.col("best.first")).alias("start"), F.col("best.similarity").alias("similarity"))
+    return scored.groupBy("row", "item_id").agg(best).select(
+        "row", "item_id", (-F.col("best.first")).alias("start"), F.col("best.similarity").alias("similarity"))
