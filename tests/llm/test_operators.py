@@ -282,6 +282,31 @@ def test_leaks_as_brute_force(spark, odd_texts):
     assert found == pytest.approx(expected) and len(expected) >= 4
 
 
+def test_leaks_at_the_edges(spark):
+    """Items without their first or last words, where the document begins or ends, by brute force over clamped windows."""
+    items = [" ".join(t.split()[:40]) for t in sentences(61, 12, 80) if len(t.split()) >= 40][:3]
+    w, tails = [t.split() for t in items], sentences(62, 6)
+    texts = [" ".join(w[0][:37]), " ".join(w[0][3:]), " ".join(w[1][2:38]), f"{tails[0]} {' '.join(w[1][:36])}", f"{' '.join(w[2][4:])} {tails[1]}",
+             " ".join(w[2][:30]), f"{tails[2]} {' '.join(w[0][:20])}", f"{' '.join(w[2][5:])} {items[0]} {' '.join(w[1][:35])}", *tails]
+    grams = lambda x: Counter(tuple(x[i:i + 5]) for i in range(len(x) - 4))
+    expected = {}
+    for d, t in enumerate(texts):
+        own = t.split()
+        for i, item in enumerate(w):
+            mine = grams(item)
+            for s in range(1 - len(item), len(own)):
+                other = grams(own[max(0, s):max(0, s + len(item))])
+                both = sum((mine & other).values())
+                score = both / (sum(mine.values()) + sum(other.values()) - both)
+                if score >= 0.8 and score > expected.get((d, i), (0, 0))[0]:
+                    expected[d, i] = score, max(0, s)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontamination.contaminated(frame(spark, texts), bench).collect()
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in found} == pytest.approx({k: v[0] for k, v in expected.items()})
+    assert {(r["doc_id"], r["item_id"]): r["start"] for r in found} == {k: v[1] for k, v in expected.items()}
+    assert {(0, 0), (1, 0), (2, 1), (3, 1), (4, 2), (7, 0), (7, 1), (7, 2)} <= set(expected) and len(found) == len(expected)
+
+
 def test_leaks_are_told_by_row(spark, tmp_path):
     """Rows that share a doc_id, or have none, with a row that leaks are kept; each row gets its own windows only."""
     import corpus_pipeline as pipeline

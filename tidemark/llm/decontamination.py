@@ -3,7 +3,8 @@
 A window as long as a benchmark item is compared with the items of that length.  Fingerprints
 within ``RADIUS`` bits agree in at least one of ``RADIUS`` + 1 blocks, so an equi-join on blocks finds
 all of them; what it finds is verified by the weighted Jaccard similarity of word shingles, a shingle
-weighing as often as it occurs.  A window without any shingle of an item has similarity 0, so
+weighing as often as it occurs.  At a document's edge a window ends with the document, so an item that
+the document holds without its first or last words is found too.  A window without any shingle of an item has similarity 0, so
 windows are laid only where a shingle of an item of their length stands, at the place that lines
 both up.  Built from DataFrame functions alone.
 """
@@ -101,7 +102,7 @@ def found_rows(rows: DataFrame, benchmark: DataFrame, *, size: int = 5, least: f
     for step in steps:
         places = hashed.select("row", F.posexplode(let(F.col("h"), lambda h: shingle_hashes(h, step))).alias("place", "shingle"))
         own = staged(spots.filter(F.col("step") == step).drop("step"), "benchmark-shingles")
-        hits = places.join(_small(own), "shingle").select("row", "m", (F.col("place") - F.col("at")).alias("start")).filter("start >= 0")
+        hits = places.join(_small(own), "shingle").select("row", "m", (F.col("place") - F.col("at")).alias("start"))
         hits = hits.distinct().withColumn("step", F.lit(step))
         found = hits if found is None else found.union(hits)
     if found is None:
@@ -109,18 +110,23 @@ def found_rows(rows: DataFrame, benchmark: DataFrame, *, size: int = 5, least: f
                                            F.lit(0).alias("start"), F.lit(0.0).alias("similarity"))
     found = staged(found, "benchmark-hits")
     lists = found.groupBy("row").agg(F.collect_list(F.struct("m", "step", "start")).alias("spots"))
-    spread = hashed.join(lists, "row").select("row", "h", F.explode("spots").alias("s"))
-    inside = spread.filter(F.col("s.start") + F.col("s.m") <= F.size("h"))
-    windows = inside.select("row", "s.m", "s.step", "s.start", F.slice("h", F.col("s.start") + 1, F.col("s.m")).alias("w"))
-    windows = windows.select("row", "m", "start", let(F.col("w"), lambda w: shingle_hashes(w, F.col("step"))).alias("shingles"))
+    clamped = F.array_distinct(F.transform("spots", lambda s: F.struct(
+        s["m"].alias("m"), s["step"].alias("step"), F.greatest(s["start"], F.lit(0)).alias("start"),
+        (F.least(s["start"] + s["m"], F.size("h")) - F.greatest(s["start"], F.lit(0))).alias("words"))))
+    spread = hashed.join(lists, "row").select("row", "h", F.explode(clamped).alias("s")).select("row", "h", "s.*")
+    # A window cut by the document's edge has fewer shingles than the item, and no more of them can be shared.
+    inside = spread.filter((F.col("words") >= F.col("step")) &
+                           (F.col("words") - F.col("step") + 1 >= F.lit(least) * (F.col("m") - F.col("step") + 1) - 1e-9))
+    windows = inside.select("row", "m", "step", "start", "words", F.slice("h", F.col("start") + 1, F.col("words")).alias("w"))
+    windows = windows.select("row", "m", "start", "words", let(F.col("w"), lambda w: shingle_hashes(w, F.col("step"))).alias("shingles"))
     windows = staged(windows, "windows").select("*", simhash(F.col("shingles")).alias("print"))
     windows = staged(windows.select("*", weighted(F.col("shingles")).alias("marks")).drop("shingles"), "windows")
 
-    left = windows.select("row", "m", "start", "print", F.inline(blocks(F.col("print"))))
+    left = windows.select("row", "m", "start", "words", "print", F.inline(blocks(F.col("print"))))
     right = items.select("item_id", "m", F.col("print").alias("item_print"), F.inline(blocks(F.col("print"))))
     near = left.join(_small(right), ["m", "block", "bits"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    pairs = near.select("row", "m", "start", "item_id").distinct()
-    both = pairs.join(windows.select("row", "m", "start", "marks"), ["row", "m", "start"])
+    pairs = near.select("row", "m", "start", "words", "item_id").distinct()
+    both = pairs.join(windows.select("row", "m", "start", "words", "marks"), ["row", "m", "start", "words"])
     both = both.join(_small(items.select("item_id", F.col("marks").alias("item_marks"))), "item_id")
     shared = F.size(F.array_intersect("marks", "item_marks"))
     total = F.size("marks") + F.size("item_marks")
