@@ -338,6 +338,29 @@ def test_main_text():
     assert html_text.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+@pytest.mark.parametrize("start, end", [
+    ("<div class='layout has-sidebar'>", "</div>"), ("<div id='content' class='no-share'>", "</div>"), ("<form id='aspnetForm'>", "</form>"),
+    ("<div class=sidebar>", "</div>"), ("<div class='social'><form id=f><div class='no-comments page'>", "</div></form></div>"), ("<nav>", "")])
+@pytest.mark.parametrize("named", [True, False])
+def test_wrappers_do_not_hide_the_article(start, end, named):
+    body = "<h1>A title</h1><p>The story goes on for a while and says a lot.</p><p>Then it ends, as stories do, with a moral.</p>"
+    body = f"<article>{body}</article>" if named else f"<div>{body}</div>"
+    around = "<div class='sidebar'>Other things to see</div><div class='share'>Tell your friends</div>"
+    page = f"<body>{start}{body}{around}{end}<footer>(c) us, all rights</footer></body>"
+    text = "A title The story goes on for a while and says a lot. Then it ends, as stories do, with a moral."
+    if named or start != "<nav>":
+        assert html_text.main_text(page) == text
+
+
+def test_long_comments_and_lists_of_cards_stay_out():
+    story = "<div id=story><p>A short story that is told here in full.</p></div>"
+    comments = "<div class='comments'>" + "<p>I liked this very much and have a lot to say about it.</p>" * 5 + "</div>"
+    assert html_text.main_text(story + comments) == "A short story that is told here in full."
+    cards = "<div class='related posts'>" + "<article><p>Another one</p></article>" * 3 + "</div>"
+    assert html_text.main_text(story + cards) == "A short story that is told here in full."
+    assert html_text.main_text(f"{story}<div class='page' hidden><article><p>{'not shown ' * 50}</p></article></div>") == "A short story that is told here in full."
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (2, None, "<p>é a</p>", 1), (2, None, "<p>é a</p>", 1), (None, "v", "", 1)],
                                   "page_id long, url string, html string, n_chars int")
