@@ -104,3 +104,44 @@ def op10_packing(spark, sf_dir):
 
     pieces = pack(table(spark, sf_dir, "documents"), BYTE_BPE, length=1024)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+_AUDIT_SQL = r"""
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+worded AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM texts),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+failing AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS c,
+    regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > least, false) AS e
+  FROM worded LEFT JOIN marks USING (doc_id)),
+rows AS (SELECT part, good, toxic, concat(CASE WHEN a THEN 'A' ELSE '' END, CASE WHEN b THEN 'B' ELSE '' END,
+    CASE WHEN c THEN 'C' ELSE '' END, CASE WHEN d THEN 'D' ELSE '' END, CASE WHEN e THEN 'E' ELSE '' END) AS fails, count(*) AS n
+  FROM failing GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+  SELECT concat(p.l, q.l, r.l, s.l, t.l) AS filter_order FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.l, q.l, r.l, s.l, t.l])) = 5),
+steps AS (
+  SELECT part, filter_order, k::INTEGER AS step, filter_order[k] AS name, n, good, toxic, fails,
+    contains(fails, filter_order[k]) AS hit,
+    len(list_filter(range(1, k), lambda j: contains(fails, filter_order[j]))) > 0 AS gone
+  FROM rows, orders, (SELECT unnest([1, 2, 3, 4, 5]) AS k)),
+counted AS (
+  SELECT part, filter_order, step, name, coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (NOT gone AND hit), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (gone AND hit), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails = name), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (NOT gone AND hit AND good), 0)::BIGINT AS good_lost,
+    coalesce(sum(n) FILTER (NOT gone AND hit AND toxic), 0)::BIGINT AS toxic_lost
+  FROM steps GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, name))::BIGINT AS shapley FROM counted
+"""
+
+
+@query("op12_filter_audit", _AUDIT_SQL)
+def op12_filter_audit(spark, sf_dir):
+    from tidemark.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
