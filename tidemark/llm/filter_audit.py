@@ -17,7 +17,7 @@ from math import factorial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import _byte_values, run_hashes, slices, small_batches, text_bytes, whole_text
@@ -218,21 +218,22 @@ def failures(docs: DataFrame, labels: DataFrame, *, part: str = "lang", key: str
     each = rows.groupBy("_digest", "_key", "_part", "_fails").agg(F.count(F.lit(1)).alias("_n"))
     marks = labels.groupBy(F.col(key).alias("_key")).agg(F.max((F.col("quality") == 1).cast("int")).alias("_good"),
                                                         F.max((F.col("toxic") == 1).cast("int")).alias("_toxic"))
-    none = F.lit(0)
-    # Keys without value would all go to one task of an outer join.
-    keyed = each.filter(F.col("_key").isNotNull()).join(marks, "_key", "left").select(
+    # Keys without value would all go to one task of an outer join; they look for a name that no label has.
+    name = F.coalesce(F.col("_key").cast("string"), F.concat(F.lit("none-"), F.hex("_digest")))
+    none, named = F.lit(0), marks.select(F.col("_key").cast("string").alias("_name"), "_good", "_toxic")
+    keyed = each.withColumn("_name", name).join(named, "_name", "left").select(
         *each.columns, F.coalesce("_good", none).alias("_good"), F.coalesce("_toxic", none).alias("_toxic"))
-    keyless = each.filter(F.col("_key").isNull()).select("*", none.alias("_good"), none.alias("_toxic"))
     # A text's copies become one row for each (part, failures, labels); its first key has the row that does not fail.
     kinds = ["_part", "_fails", "_good", "_toxic"]
-    copies = keyed.groupBy("_digest", *kinds).agg(F.sum("_n").alias("_all"), F.min(F.struct("_key", "_n")).alias("_first"))
-    first = copies.groupBy("_digest").agg(F.min("_first._key").alias("_least"))
-    own = F.when(F.col("_first._key") == F.col("_least"), F.col("_first._n")).otherwise(F.lit(0))
-    split = copies.join(first, "_digest").select(*kinds, own.alias("_own"), (F.col("_all") - own).alias("_later"))
-    both = split.select(*kinds, F.explode(F.array(
-        F.struct(F.lit("").alias("e"), F.col("_own").alias("n")), F.struct(F.lit(REPEATED).alias("e"), F.col("_later").alias("n")))).alias("_x"))
-    counted = both.select(*kinds, F.col("_x.e").alias("_e"), F.col("_x.n").alias("_n")).union(
-        keyless.select(*kinds, F.lit("").alias("_e"), "_n"))
+    first = F.when(F.col("_key").isNotNull(), F.struct("_key", "_n"))
+    copies = keyed.groupBy("_digest", *kinds).agg(
+        F.sum("_n").alias("_all"), F.min(first).alias("_first"), F.sum(F.when(F.col("_key").isNull(), F.col("_n")).otherwise(none)).alias("_keyless"))
+    least = Window.partitionBy("_digest")  # over at most one row for each (part, failures, labels)
+    own = F.col("_keyless") + F.when(F.col("_first._key") == F.col("_least"), F.col("_first._n")).otherwise(none)
+    split = copies.withColumn("_least", F.min("_first._key").over(least)).select(*kinds, own.alias("_own"), (F.col("_all") - own).alias("_later"))
+    counted = split.select(*kinds, F.explode(F.array(
+        F.struct(F.lit("").alias("_e"), F.col("_own").alias("_n")),
+        F.struct(F.lit(REPEATED).alias("_e"), F.col("_later").alias("_n")))).alias("_x")).select(*kinds, "_x.*")
     return counted.groupBy(F.col("_part").alias("part"), F.concat("_fails", "_e").alias("fails"), F.col("_good").alias("good"),
                            F.col("_toxic").alias("toxic")).agg(F.sum("_n").alias("n")).filter("n > 0")
 
