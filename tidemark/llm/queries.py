@@ -145,3 +145,42 @@ def op12_filter_audit(spark, sf_dir):
     from tidemark.llm.filter_audit import audit
 
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Lloyd's rounds one after the other; whole numbers below 2^53, so doubles are exact."""
+    steps = [r"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS MATERIALIZED (
+  SELECT vec_id, p, list_slice(v, p * len(v) // 4 + 1, (p + 1) * len(v) // 4) AS x FROM kept, (SELECT unnest([0, 1, 2, 3]) AS p)),
+book0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM cut QUALIFY e < 256),"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+assigned{k} AS MATERIALIZED (
+  SELECT vec_id, p, x, min(struct_pack(d := list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c), e := e)) AS near
+  FROM cut JOIN book{k} USING (p) GROUP BY vec_id, p, x),""")
+        if k < rounds:
+            steps.append(f"""
+flat{k} AS (SELECT p, near.e AS e, unnest(x) AS y, generate_subscripts(x, 1) AS place FROM assigned{k}),
+means{k} AS (
+  SELECT p, e, list(m ORDER BY place) AS c FROM (SELECT p, e, place, floor(sum(y) / count(*)) AS m FROM flat{k} GROUP BY ALL) GROUP BY p, e),
+book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN means{k} m USING (p, e)),""")
+    steps.append(f"""
+coded AS (
+  SELECT vec_id, string_agg(format('{{:02x}}', near.e), '' ORDER BY p) AS code, sum(near.d)::BIGINT AS error FROM assigned{rounds} GROUP BY vec_id),
+sha AS (
+  SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), sha
+""")
+    return "".join(steps)
+
+
+@query("op13_vector_codes", _codes_sql())
+def op13_vector_codes(spark, sf_dir):
+    from tidemark.llm.vector_codes import encode
+
+    return encode(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
