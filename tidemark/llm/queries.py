@@ -184,3 +184,28 @@ def op13_vector_codes(spark, sf_dir):
     from tidemark.llm.vector_codes import encode
 
     return encode(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+_EMBEDDING_SQL = r"""
+WITH RECURSIVE usable AS MATERIALIZED (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+units AS MATERIALIZED (SELECT vec_id, label, v, sqrt(list_inner_product(v, v)) AS norm FROM usable),
+links AS MATERIALIZED (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM units p JOIN units q ON p.label = q.label AND p.vec_id <> q.vec_id AND len(p.v) = len(q.v)
+  WHERE list_inner_product(p.v, q.v) / (p.norm * q.norm) >= 0.98),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(b, vec_id)) AS kept
+FROM embeddings LEFT JOIN degree ON vec_id = degree.a LEFT JOIN least ON vec_id = least.a
+"""
+
+
+@query("op11_embedding_groups", _EMBEDDING_SQL)
+def op11_embedding_groups(spark, sf_dir):
+    from tidemark.llm.embedding_groups import linked_vectors
+
+    return linked_vectors(table(spark, sf_dir, "embeddings"))
