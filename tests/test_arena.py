@@ -171,9 +171,10 @@ def test_python_code_travels_with_the_plan():
 
     from pyspark import cloudpickle
 
-    from tidemark.operators.arima import Order, stationary
+    from tidemark.operators.arima import Order
+    from tidemark.operators.factors import inside
 
-    blob = cloudpickle.dumps((stationary, Order(1, 0, 1)))
+    blob = cloudpickle.dumps((inside, Order(1, 0, 1)))
     script = "import pickle, sys; f, o = pickle.loads(sys.stdin.buffer.read()); import numpy as np; print(f(np.array([[0.5]])), o.ma_lags)"
     done = subprocess.run([sys.executable, "-c", script], input=blob, capture_output=True, cwd="/", env={"PYTHONPATH": ""})
     assert done.returncode == 0, done.stderr

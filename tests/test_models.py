@@ -1,11 +1,13 @@
 """Model fits against brute-force numpy on short series, across block edges."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import by_entity, daily, quarterly, walk
-from tidemark.operators import arima, diagnostics, fourier, lagmodels, linear, splits, volatility
+from tidemark.operators import arima, diagnostics, factors, fourier, lagmodels, linear, splits, volatility
 from tidemark.operators.arima import Order
 
 A, B = walk(11, 90), walk(12, 60, phi=0.3, mean=-1.0)
@@ -19,7 +21,64 @@ def least_squares(x, y):
     return np.linalg.lstsq(np.asarray(x), np.asarray(y), rcond=None)[0]
 
 
-def brute_arma(y, order, fit_end, steps, long_ar=4):
+def long_residuals(w, lost, fit_end, const, most_ma):
+    """Residuals of the long autoregression, its order and coefficients from the Toeplitz equations."""
+    own = w[lost:fit_end]
+    n = len(own)
+    m = max(1, min(n // 4, max(most_ma, int(np.log(n) ** 1.5))))
+    mean = own.mean() if const else 0.0
+    x = own - mean
+    r = np.array([(x[k:] * x[: n - k]).sum() / n for k in range(m + 1)])
+    phi = np.linalg.solve(r[np.abs(np.subtract.outer(range(m), range(m)))], r[1:])
+    e = np.full(len(w), np.nan)
+    for t in range(lost + m, len(w)):
+        e[t] = w[t] - mean - sum(phi[k] * (w[t - 1 - k] - mean) for k in range(m))
+    return e, m
+
+
+def alternate(order, w, e, rows):
+    """Product model by turns: plain factors given the seasonal ones, and the other way round."""
+    def lag(v, k):
+        return np.array([v[t - k] for t in rows])
+
+    s, y = order.s, lag(w, 0)
+    phi, big, theta, big_theta = (np.zeros(k) for k in (order.p, order.P, order.q, order.Q))
+    for _ in range(3000):
+        def ar(k):  # (1 - PHI(B^s)) w at lag k
+            return lag(w, k) - sum(big[j] * lag(w, k + s * (j + 1)) for j in range(order.P))
+
+        def ma(k):
+            return lag(e, k) + sum(big_theta[j] * lag(e, k + s * (j + 1)) for j in range(order.Q))
+
+        y0 = ar(0) - sum(big_theta[j] * lag(e, s * (j + 1)) for j in range(order.Q))
+        x = [ar(i + 1) for i in range(order.p)] + [ma(i + 1) for i in range(order.q)]
+        if x:
+            short = least_squares(np.stack(x, 1), y0)
+            phi, theta = short[: order.p], short[order.p:]
+
+        def ar(k):  # noqa: F811
+            return lag(w, k) - sum(phi[i] * lag(w, k + i + 1) for i in range(order.p))
+
+        def ma(k):  # noqa: F811
+            return lag(e, k) + sum(theta[i] * lag(e, k + i + 1) for i in range(order.q))
+
+        y0 = ar(0) - sum(theta[i] * lag(e, i + 1) for i in range(order.q))
+        x = [ar(s * (j + 1)) for j in range(order.P)] + [ma(s * (j + 1)) for j in range(order.Q)]
+        if x:
+            long = least_squares(np.stack(x, 1), y0)
+            big, big_theta = long[: order.P], long[order.P:]
+    return phi, big, theta, big_theta
+
+
+def polynomial(short, long, s, sign):
+    """Lag coefficients of a product of two polynomials 1 + sign * x."""
+    a, b = np.r_[1.0, sign * short], np.zeros(s * len(long) + 1)
+    b[0] = 1.0
+    b[s * np.arange(1, len(long) + 1)] = sign * long
+    return sign * np.convolve(a, b)[1:]
+
+
+def brute_arma(y, order, fit_end, steps):
     """Two-stage fit and forecast of one series with plain loops."""
     weights = {lag: c for lag, c in _weights(order).items()}
     lost = max(weights)
@@ -27,29 +86,32 @@ def brute_arma(y, order, fit_end, steps, long_ar=4):
     for t in range(lost, len(y)):
         w[t] = sum(c * y[t - lag] for lag, c in weights.items())
     const = order.has_const
-    e = np.full(len(y), np.nan)
-    if order.ma_lags:
-        rows = range(lost + long_ar, fit_end)
-        x = [[*([1.0] if const else []), *[w[t - k] for k in range(1, long_ar + 1)]] for t in rows]
-        beta = least_squares(x, [w[t] for t in rows])
-        for t, xs in zip(rows, x):
-            e[t] = w[t] - np.dot(beta, xs)
-    ar, ma = order.ar_lags, order.ma_lags
-    start = lost + max(max(ar, default=0), long_ar + max(ma) if ma else 0)
+    e, m = np.full(len(y), np.nan), 0
+    if order.q or order.Q:
+        e, m = long_residuals(w, lost, fit_end, const, order.q + order.s * order.Q)
+    far_ar, far_ma = order.p + order.s * order.P, order.q + order.s * order.Q
+    start = lost + max(far_ar, m + far_ma if far_ma else 0)
     rows = range(start, fit_end)
-    x = [[*([1.0] if const else []), *[w[t - k] for k in ar], *[e[t - k] for k in ma]] for t in rows]
-    beta = least_squares(x, [w[t] for t in rows])
+    if order.P or order.Q:
+        assert not const
+        phi, big, theta, big_theta = alternate(order, w, e, rows)
+        ar, ma = polynomial(phi, big, order.s, -1.0), polynomial(theta, big_theta, order.s, 1.0)
+        c = []
+    else:
+        x = [[*([1.0] if const else []), *[w[t - k - 1] for k in range(far_ar)], *[e[t - k - 1] for k in range(far_ma)]] for t in rows]
+        beta = least_squares(x, [w[t] for t in rows])
+        c, ar, ma = beta[: int(const)].tolist(), beta[int(const): int(const) + far_ar], beta[int(const) + far_ar:]
     past_w, past_e, past_y = list(w[:fit_end]), list(e[:fit_end]), list(y[:fit_end])
     out = []
     for _ in range(steps):
-        xs = [*([1.0] if const else []), *[past_w[-k] for k in ar], *[past_e[-k] for k in ma]]
-        nxt = float(np.dot(beta, xs))
+        nxt = sum(c) + sum(v * past_w[-k - 1] for k, v in enumerate(ar)) + sum(v * past_e[-k - 1] for k, v in enumerate(ma))
         past_w.append(nxt)
         past_e.append(0.0)
         level = nxt - sum(c * past_y[-lag] for lag, c in weights.items() if lag)
         past_y.append(level)
         out.append(level)
-    return beta, np.array(out)
+    coef = [*c, *[ar[k - 1] for k in order.ar_lags], *[ma[k - 1] for k in order.ma_lags]]
+    return coef, np.array(out)
 
 
 def _weights(order):
@@ -60,12 +122,12 @@ def _weights(order):
 
 ORDERS = [
     Order(2, 0, 0), Order(1, 1, 0), Order(1, 0, 1), Order(0, 1, 2), Order(2, 1, 1),
-    Order(1, 0, 1, 1, 0, 1, 4), Order(1, 0, 0, 0, 1, 1, 4), Order(0, 0, 0),
+    Order(1, 0, 1, 1, 0, 1, 4), Order(1, 0, 0, 0, 1, 1, 4), Order(2, 0, 0, 1, 0, 0, 4), Order(0, 0, 0),
 ]
 
 
 def test_all_orders_match_brute_force(spark, small_blocks):
-    done = arima.fit(two(spark), ORDERS, splits.holdout(0.2))
+    done = arima.fit(two(spark), [replace(o, restrict=False) for o in ORDERS], splits.holdout(0.2))
     coef = {(r["entity"], r["order_index"]): r["coef"] for r in done.fits.collect()}
     paths = {}
     for row in done.forecasts.orderBy("step").collect():
@@ -266,20 +328,94 @@ def test_forecast_dates_follow_the_last_quarter(spark):
     assert dates == ["2021-03-31", "2021-06-30"]
 
 
-def test_stationarity_by_roots():
-    rng = np.random.default_rng(8)
-    phi = rng.normal(scale=0.7, size=(200, 4))
-    companion = np.zeros((200, 4, 4))
+def roots_inside(phi):
+    companion = np.zeros((len(phi), phi.shape[1], phi.shape[1]))
     companion[:, 0, :] = phi
-    companion[:, 1:, :-1] = np.eye(3)
-    inside = np.abs(np.linalg.eigvals(companion)).max(axis=1) < 1
-    assert inside.any() and not inside.all()
-    assert (arima.stationary(phi) == inside).all()
-
-
-def test_explosive_plain_order_is_left_out(spark):
-    y = [1.1**i + 0.01 * (-1) ** i for i in range(40)]
-    done = arima.fit(daily(spark, {"a": y}), [Order(1), Order(1, stationary=False)], splits.whole_series(2))
-    status = {r["order_index"]: r["status"] for r in done.fits.collect()}
-    assert status == {1: "unstable", 2: "ok"}
-    assert {r["order_index"] for r in done.forecasts.collect()} == {2}
+    companion[:, 1:, :-1] = np.eye(phi.shape[1] - 1)
+    return np.abs(np.linalg.eigvals(companion)).max(axis=1) < 1
+
+
+def test_stationarity_by_roots():
+    phi = np.random.default_rng(8).normal(scale=0.7, size=(200, 4))
+    fine = roots_inside(phi)
+    assert fine.any() and not fine.all()
+    assert (factors.inside(phi) == fine).all()
+    assert np.allclose(factors.step_up(factors.step_down(phi[fine])), phi[fine])
+    held = factors.step_up(factors.step_down(phi, factors.BOUND))
+    assert roots_inside(held).all()
+
+
+def test_levinson_solves_the_toeplitz_equations():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(5, 60)).cumsum(axis=1)
+    r = np.stack([(x[:, k:] * x[:, : 60 - k]).sum(axis=1) for k in range(9)], axis=1)
+    found, partial = factors.levinson(r, np.array([8, 3, 1, 8, 5]))
+    assert np.allclose(partial[0], factors.step_down(found[:1])[0])
+    for row, m, phi in zip(r, (8, 3, 1, 8, 5), found):
+        own = np.linalg.solve(row[np.abs(np.subtract.outer(range(m), range(m)))], row[1: m + 1])
+        assert np.allclose(phi, np.r_[own, np.zeros(8 - m)], atol=1e-8)
+
+
+def simulated(p, P, q, Q, s, n, seed):
+    """A seasonal product series, its lags multiplied out."""
+    rng = np.random.default_rng(seed)
+    ar, ma = polynomial(np.array(p), np.array(P), s, -1.0), polynomial(np.array(q), np.array(Q), s, 1.0)
+    y, e = np.zeros(n + 200), rng.normal(size=n + 200)
+    for t in range(len(ar) + len(ma), n + 200):
+        y[t] = e[t] + sum(v * y[t - k - 1] for k, v in enumerate(ar)) + sum(v * e[t - k - 1] for k, v in enumerate(ma))
+    return y[200:]
+
+
+def test_product_parameters_are_found(spark, small_blocks):
+    panel = daily(spark, {"a": simulated([0.6], [0.5], [], [], 6, 1500, 1).tolist(), "b": simulated([], [], [0.5], [0.4], 6, 1500, 2).tolist()})
+    orders = [Order(1, 0, 0, 1, 0, 0, 6), Order(0, 0, 1, 0, 0, 1, 6)]
+    found = {(r["entity"], r["order_index"]): r for r in arima.fit(panel, orders, splits.whole_series()).fits.collect()}
+    ar, ma = found["a", 1], found["b", 2]
+    assert np.allclose(ar["params"], [0.6, 0.5], atol=0.06) and np.allclose(ma["params"], [0.5, 0.4], atol=0.08)
+    assert orders[0].ar_lags == [1, 6, 7] and ar["coef"][2] == pytest.approx(-ar["params"][0] * ar["params"][1])
+    assert orders[1].ma_lags == [1, 6, 7] and ma["coef"][2] == pytest.approx(ma["params"][0] * ma["params"][1])
+
+
+def test_explosive_series_get_a_stationary_fit(spark):
+    rng = np.random.default_rng(5)
+    grown = [1.1**i + rng.normal() for i in range(60)]
+    noise = rng.normal(size=80)
+    orders = [Order(1), Order(1, restrict=False), Order(2, 0, 2), Order(3, 0, 3), Order(3, 1, 1)]
+    panel = daily(spark, {"a": grown, "b": np.diff(noise, 2).tolist(), "c": noise.cumsum().cumsum().tolist()})
+    done = arima.fit(panel, orders, splits.whole_series(2))
+    fits = {(r["entity"], r["order_index"]): r for r in done.fits.collect()}
+    assert {r["status"] for r in fits.values()} == {"ok"}
+    assert fits["a", 2]["params"][1] > 1.05 and fits["a", 1]["params"][1] == pytest.approx(factors.BOUND)
+    for (_, index), r in fits.items():
+        if orders[index - 1].restrict is None:
+            at, p = int(orders[index - 1].has_const), orders[index - 1].p
+            assert roots_inside(np.array([r["params"][at: at + p]]))[0]
+            assert not orders[index - 1].q or roots_inside(-np.array([r["params"][at + p:]]))[0]
+    assert done.forecasts.count() == 3 * len(orders) * 2
+
+
+def test_held_factor_leaves_the_best_remainder():
+    """With the autoregression at the edge, nothing but the free parameters can lower the sum of squares."""
+    rng = np.random.default_rng(7)
+    x = np.c_[np.ones(60), rng.normal(size=(60, 2))]
+    y = 0.5 + 1.3 * x[:, 1] - 0.2 * x[:, 2] + 0.1 * rng.normal(size=60)
+    shape = factors.Shape(1, 1, 0, 1, 0, 0)
+    params = factors.fit(shape, (x.T @ x)[None], (x.T @ y)[None], np.array([y @ y]), True)[0]
+    rest = least_squares(x[:, [0, 2]], y - factors.BOUND * x[:, 1])
+    assert np.allclose(params, [rest[0], factors.BOUND, rest[1]])
+
+
+def test_criteria_count_the_same_rows(spark, small_blocks):
+    orders = [Order(1), Order(3), Order(1, 0, 1), Order(2, 1, 1)]
+    fits = arima.fit(two(spark), orders, splits.whole_series()).fits.collect()
+    alone = {(i, r["entity"]): r for i, o in enumerate(orders, 1) for r in arima.fit(two(spark), [o], splits.whole_series()).fits.collect()}
+    for r in fits:
+        same = [f for f in fits if f["entity"] == r["entity"]]
+        own = alone[r["order_index"], r["entity"]]
+        assert {f["nobs"] for f in same} == {min(f["fit_rows"] for f in same)}
+        assert r["fit_rows"] == own["fit_rows"] == own["nobs"] and np.allclose(r["coef"], own["coef"])
+        k = len(r["params"]) + 1
+        assert r["aic"] == pytest.approx(2 * k + r["nobs"] * (np.log(2 * np.pi * r["sse"] / r["nobs"]) + 1))
+    first = next(f for f in fits if (f["entity"], f["order_index"]) == ("a", 1))
+    resid = A[1:] - first["coef"][0] - first["coef"][1] * A[:-1]
+    assert first["sse"] == pytest.approx((resid[-first["nobs"]:] ** 2).sum())

@@ -17,7 +17,7 @@ from tidemark.functions.tails import (
     polynomial,
     unit_root_p,
 )
-from tidemark.operators import arima, splits
+from tidemark.operators import arima, factors, splits
 from tidemark.operators.arima import Order
 from tidemark.operators.axis import Keys, as_list, attach, running_total, stage, windowed
 
@@ -86,13 +86,22 @@ def acf(panel: DataFrame, lags: int, value: str = "value", *, keys: Keys = "enti
     return kept.select(*keys, (F.col("_i") + 1).alias("lag"), "acf", band.alias("band"), "n")
 
 
-def pacf(panel: DataFrame, lags: int, value: str = "value", *, keys: Keys = "entity") -> DataFrame:
-    """Partial autocorrelations: the last coefficient of each autoregression of 1..lags."""
-    orders = [Order(k, stationary=False) for k in range(1, lags + 1)]
-    done = arima.fit(panel, orders, splits.whole_series(), keys=keys, value=value)
-    fitted = done.fits.filter("status = 'ok'")
-    band = 1.959963984540054 / F.sqrt("n")
-    return fitted.select(*as_list(keys), F.col("p").alias("lag"), F.element_at("coef", -1).alias("pacf"), band.alias("band"))
+def pacf(panel: DataFrame, lags: int = 40, value: str = "value", *, keys: Keys = "entity") -> DataFrame:
+    """Partial autocorrelations of lags 1..lags by the Durbin-Levinson recursion on the autocorrelations."""
+    keys = as_list(keys)
+
+    @F.pandas_udf("array<double>")
+    def recursion(r: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(r), index=r.index, dtype=object)
+        for size, index in r.groupby(r.map(len)).groups.items():
+            ones = np.concatenate([np.ones((len(index), 1)), np.stack(r[index].to_list())], axis=1)
+            out[index] = pd.Series(factors.levinson(ones, np.full(len(index), size))[1].tolist(), index=index)
+        return out
+
+    found = acf(panel, lags, value, keys=keys).groupBy(*keys).agg(
+        F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("lag", "acf"))).alias("_r"))  # at most ``lags`` entries
+    tall = found.select(*keys, "n", F.posexplode(recursion(F.col("_r.acf"))).alias("_i", "pacf"))
+    return tall.select(*keys, (F.col("_i") + 1).alias("lag"), "pacf", (1.959963984540054 / F.sqrt("n")).alias("band"))
 
 
 def ljung_box(panel: DataFrame, lags: int = 40, value: str = "value", *, keys: Keys = "entity") -> DataFrame:
@@ -182,10 +191,8 @@ def root_stability(fits: DataFrame, orders: Sequence[Order], *, keys: Keys = ("e
 def model_residuals(panel: DataFrame, order: Order, *, keys: Keys = "entity", value: str = "value") -> DataFrame:
     """One-step residuals of an order fitted on the whole series, renumbered from 1."""
     done = arima.fit(panel, [order], splits.whole_series(), keys=keys, value=value)
-    made = done.designs[0]
-    lost = made.start(order)
-    rows = arima.one_step(made, done.fits, order).drop("phase")
-    return rows.withColumns({"rn": F.col("rn") - lost, "n": F.col("n") - lost})
+    rows = arima.one_step(done.designs[0], done.fits, order).drop("phase")
+    return rows.withColumns({"rn": F.col("rn") - F.col("start"), "n": F.col("n") - F.col("start")}).drop("start")
 
 
 def dynamic_forecast(panel: DataFrame, order: Order, before_end: int, steps: int, *, keys: Keys = "entity",

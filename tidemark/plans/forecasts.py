@@ -19,8 +19,10 @@ from tidemark.plans.sqlmodels import (
     PHASES,
     aic,
     bic,
+    common_sql,
     lag_ctes,
     order_ctes,
+    own_with,
     phases_cte,
     solve_ctes,
 )
@@ -43,7 +45,7 @@ def evaluated(series, order: Order, phases=None):
 
 
 def evaluated_sql(source: str, relation: str, order: Order) -> str:
-    k = int(order.has_const) + len(order.ar_lags) + len(order.ma_lags)
+    k = int(order.has_const) + order.p + order.P + order.q + order.Q
     return W + source + phases_cte(relation, HOLDOUT) + order_ctes(order, "ar") + f""",
 scored AS (SELECT p.entity, p.predicted, s.value AS actual FROM ar_path p JOIN {relation} s
   ON p.entity = s.entity AND p.rn = s.rn),
@@ -116,15 +118,15 @@ def _grid_sql(source: str, relation: str, orders: list[Order]) -> str:
     text = W + source + phases_cte(relation, HOLDOUT)
     parts = []
     for index, order in enumerate(orders, start=1):
-        text += order_ctes(order, f"g{index}")
-        k = int(order.has_const) + len(order.ar_lags) + len(order.ma_lags)
-        parts.append(
+        k = int(order.has_const) + order.p + order.q
+        parts.append(own_with(
+            order_ctes(order, f"g{index}", common=common_sql(orders)),
             f"""SELECT f.entity, {index} AS order_index, '({order.p}, {order.d}, {order.q})' AS "order", count(*) AS test_rows,
             any_value(f.fit_end) AS train_rows, {RAW_METRICS},
             {aic('any_value(sse)', 'any_value(nobs)', str(k))} AS aic, {bic('any_value(sse)', 'any_value(nobs)', str(k))} AS bic
             FROM (SELECT p.entity, p.predicted, s.value AS actual FROM g{index}_path p JOIN {relation} s
               ON p.entity = s.entity AND p.rn = s.rn) JOIN g{index}_fit f USING (entity) GROUP BY f.entity"""
-        )
+        ))
     return text + f""", board AS ({' UNION ALL '.join(parts)}),
     placed AS (SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY rmse, order_index) AS place, order_index,
       "order", NULL::VARCHAR AS seasonal_order, r2, mse, rmse, mae, mape, smape, aic, bic, train_rows, test_rows FROM board)"""

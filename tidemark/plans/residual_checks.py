@@ -13,7 +13,7 @@ from tidemark.plans import panels as P
 from tidemark.plans.describe import report_sql
 from tidemark.plans.registry import query
 from tidemark.plans.rounding import r, rounded
-from tidemark.plans.sqlmodels import aic, ar_ctes, bic, order_ctes, phases_cte
+from tidemark.plans.sqlmodels import aic, bic, common_sql, order_ctes, own_with, phases_cte
 
 W = "WITH "
 ALL = [("future", "n", "n")]
@@ -76,38 +76,37 @@ def acf(spark, folder):
     return rounded(diagnostics.acf(forms, 40, keys=["entity", "form"]), "acf", "band")
 
 
-def _pacf_sql() -> str:
-    text = W + P.FILLED + phases_cte("filled", ALL)
-    parts = []
-    for k in range(1, 5):
-        text += ar_ctes(list(range(1, k + 1)), True, {0: 1}, name=f"k{k}")
-        parts.append(
-            f"SELECT entity, {k} AS lag, {r(f'c{k}', 'pacf')}, {r('1.959963984540054::DOUBLE / sqrt(n)', 'band')} FROM k{k}_fit"
-        )
-    return text + " " + " UNION ALL ".join(parts)
-
-
-@query("pacf", _pacf_sql())
+@query(
+    "pacf",
+    W + P.SEGMENT_SERIES + FORMS.format(source="seg") + ACF.format(last=41) + f""",
+    known AS (SELECT entity, form, any_value(n) AS n, list(r ORDER BY k) AS r FROM acf GROUP BY entity, form),
+    partial AS (
+      WITH RECURSIVE step(entity, form, n, r, k, a, v, g) AS (
+        SELECT entity, form, n, r, 1::BIGINT, [r[1]], 1 - r[1] * r[1], r[1] FROM known
+        UNION ALL
+        SELECT entity, form, n, r, k + 1, list_append(list_transform(range(1, k + 1), lambda j: a[j] - h * a[k + 1 - j]), h), v * (1 - h * h), h
+        FROM (SELECT *, (r[k + 1] - list_inner_product(a, list_reverse(r[1:k]))) / v AS h FROM step WHERE k < len(r)))
+      SELECT * FROM step)
+    SELECT entity, form, k::INTEGER AS lag, {r('g', 'pacf')}, {r('1.959963984540054::DOUBLE / sqrt(n)', 'band')} FROM partial""",
+)
 def pacf(spark, folder):
-    return rounded(diagnostics.pacf(P.filled_series(spark, folder), 4), "pacf", "band")
+    forms = stage(diagnostics.level_and_difference(P.segment_series(spark, folder)))
+    return rounded(diagnostics.pacf(forms, 40, keys=["entity", "form"]), "pacf", "band")
 
 
 IC_GRID = [*arima.orders_of(range(4), [0], range(4)), Order(2, 1, 3), Order(4, 1, 1)]
 
-# Orders are compared on the same rows: (2, 1, 3) loses most, 1 by differencing, 4 to the long fit, 3 to its residuals.
-IC_FIRST = 8
-
 
 def _ic_sql() -> str:
     text = W + P.SEGMENT_SERIES + phases_cte("seg", ALL)
     parts = []
     for index, order in enumerate(IC_GRID, start=1):
-        text += order_ctes(order, f"g{index}", least=IC_FIRST)
-        k = str(int(order.has_const) + len(order.ar_lags) + len(order.ma_lags))
-        parts.append(
+        k = str(int(order.has_const) + order.p + order.q)
+        parts.append(own_with(
+            order_ctes(order, f"g{index}", common=common_sql(IC_GRID)),
             f"""SELECT entity, {index} AS order_index, '({order.p}, {order.d}, {order.q})' AS "order", nobs,
             {r(aic('sse', 'nobs', k), 'aic', 6)}, {r(bic('sse', 'nobs', k), 'bic', 6)} FROM g{index}_fit"""
-        )
+        ))
     return text + f""", board AS ({' UNION ALL '.join(parts)})
     SELECT *, row_number() OVER (PARTITION BY entity ORDER BY aic, order_index) AS aic_place,
       row_number() OVER (PARTITION BY entity ORDER BY bic, order_index) AS bic_place FROM board"""
@@ -116,7 +115,7 @@ def _ic_sql() -> str:
 @query("arma_ic_grid", _ic_sql())
 def arma_ic_grid(spark, folder):
     series = P.segment_series(spark, folder)
-    fits = arima.fit(series, IC_GRID, splits.whole_series(), same_rows=True).fits.filter("status = 'ok'")
+    fits = arima.fit(series, IC_GRID, splits.whole_series()).fits.filter("status = 'ok'")
     ranked = scoring.grid_rank(fits, "aic").withColumnRenamed("place", "aic_place")
     ranked = scoring.grid_rank(ranked, "bic").withColumnRenamed("place", "bic_place")
     text = scoring.order_text("p", "d", "q").alias("order")
@@ -151,7 +150,7 @@ def _roots_sql() -> str:
     text = W + P.SEGMENT_SERIES + phases_cte("seg", ALL)
     parts = []
     for index, order in enumerate(ROOT_ORDERS, start=1):
-        text += order_ctes(order, f"g{index}", least=IC_FIRST)
+        text += order_ctes(order, f"g{index}")
         at = int(order.has_const)
         ar = f"abs(c{at})" if order.p == 1 else _root(f"c{at}", f"c{at + 1}")
         ma = f"abs(c{at + order.p})" if order.q else "0::DOUBLE"
