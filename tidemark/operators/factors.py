@@ -127,6 +127,19 @@ class Shape:
         return beta, slope
 
 
+    def bend(self, left: np.ndarray) -> np.ndarray:
+        """Second derivatives of the coefficients, weighted by ``left`` (a weight for each coefficient)."""
+        out = np.zeros((len(left), self.size, self.size))
+        _, phi, big_phi, theta, big_theta = self.spans
+        for lags, at, short, long, sign in ((self.ar_lags, self.const, phi, big_phi, -1.0),
+                                            (self.ma_lags, self.const + len(self.ar_lags), theta, big_theta, 1.0)):
+            for i in range(short.start, short.stop):
+                for j in range(long.start, long.stop):
+                    lag = i - short.start + 1 + self.s * (j - long.start + 1)
+                    out[:, i, j] = out[:, j, i] = sign * left[:, at + lags.index(lag)]
+        return out
+
+
 def quadratic(a: np.ndarray, b: np.ndarray, yy: np.ndarray, beta: np.ndarray) -> np.ndarray:
     """Sum of squared residuals from sums of products."""
     return yy - 2 * (beta * b).sum(axis=1) + np.einsum("ri,rij,rj->r", beta, a, beta)
@@ -140,10 +153,12 @@ def _scaled_solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def minimise(shape: Shape, a: np.ndarray, b: np.ndarray, yy: np.ndarray, params: np.ndarray, free: np.ndarray) -> np.ndarray:
-    """Least squares over the ``free`` parameters by Gauss-Newton steps, halved until the sum of squares falls.
+    """Least squares over the ``free`` parameters by Newton steps, halved until the sum of squares falls.
 
-    One step is exact where no two free parameters are multiplied with each other.
+    Where the sum of squares is not convex, the step leaves out the curvature of the products (Gauss-Newton).  One
+    step is exact where no two free parameters are multiplied with each other.
     """
+    tied = shape.p and shape.P or shape.q and shape.Q
     if not free.any():
         return params
     beta, slope = shape.expand(params)
@@ -156,8 +171,14 @@ def minimise(shape: Shape, a: np.ndarray, b: np.ndarray, yy: np.ndarray, params:
         beta, slope = shape.expand(params[at])
         slope = slope[:, :, free]
         normal = np.einsum("rip,rij,rjq->rpq", slope, a[at], slope)
+        left = b[at] - np.einsum("rij,rj->ri", a[at], beta)
+        if tied:
+            whole = normal - shape.bend(left)[:, free][:, :, free]
+            size = np.sqrt(np.maximum(np.einsum("rpp->rp", normal), 1e-300))
+            convex = np.linalg.eigvalsh(whole / (size[:, :, None] * size[:, None, :]))[:, 0] > 1e-9
+            normal = np.where(convex[:, None, None], whole, normal)
         step = np.zeros((len(at), shape.size))
-        step[:, free] = _scaled_solve(normal, np.einsum("rip,ri->rp", slope, b[at] - np.einsum("rij,rj->ri", a[at], beta)))
+        step[:, free] = _scaled_solve(normal, np.einsum("rip,ri->rp", slope, left))
         moved, size = np.zeros(len(at), dtype=bool), 1.0
         for _ in range(30):
             trial = params[at] + size * step
@@ -174,6 +195,31 @@ def minimise(shape: Shape, a: np.ndarray, b: np.ndarray, yy: np.ndarray, params:
     return params
 
 
+def _lowest(shape: Shape, a: np.ndarray, b: np.ndarray, yy: np.ndarray) -> np.ndarray:
+    """Least squares over all parameters.  A product has several minima, so it is started from several seasonal factors."""
+    const, phi, big_phi, theta, big_theta = shape.spans
+    tied = shape.p and shape.P or shape.q and shape.Q
+    everything, long = np.ones(shape.size, dtype=bool), np.zeros(shape.size, dtype=bool)
+    long[big_phi] = long[big_theta] = True
+    starts = [np.zeros(shape.size)]
+    for ar in (-0.5, 0.5) if tied and shape.P else (0.0,) if tied else ():
+        for ma in (-0.5, 0.5) if shape.Q else (0.0,):
+            starts.append(np.zeros(shape.size))
+            starts[-1][big_phi][:1], starts[-1][big_theta][:1] = ar, ma
+    best, least = None, None
+    for start in starts:
+        params = np.tile(start, (len(a), 1))
+        if tied:
+            params = minimise(shape, a, b, yy, minimise(shape, a, b, yy, params, ~long), long)
+        params = minimise(shape, a, b, yy, params, everything)
+        value = quadratic(a, b, yy, shape.expand(params)[0])
+        if best is None:
+            best, least = params, value
+        lower = value < least * (1 - 1e-9)
+        best[lower], least[lower] = params[lower], value[lower]
+    return best
+
+
 def fit(shape: Shape, a: np.ndarray, b: np.ndarray, yy: np.ndarray, restricted: bool) -> np.ndarray:
     """Parameters that fit best; a restricted model is stationary and invertible.
 
@@ -181,7 +227,7 @@ def fit(shape: Shape, a: np.ndarray, b: np.ndarray, yy: np.ndarray, restricted:
     there, while all other parameters are fitted again.
     """
     everything = np.ones(shape.size, dtype=bool)
-    params = minimise(shape, a, b, yy, np.zeros((len(a), shape.size)), everything)
+    params = _lowest(shape, a, b, yy)
     if not restricted:
         return params
     factors = [(span, sign) for span, sign in zip(shape.spans[1:], (1.0, 1.0, -1.0, -1.0)) if span.stop > span.start]

@@ -191,16 +191,35 @@ def _product_ctes(name: str, order, xs: list[str], s: int) -> str:
     one = ", ".join(f"{first.get(c, '0::DOUBLE')} AS {c}" for c in ("sp", "sq"))
     two = ", ".join(f"{second.get(c, '0::DOUBLE')} AS {c}" for c in ("lp", "lq"))
     value = {w: "sp", ws: "lp", wx: "-sp * lp", e: "sq", es: "lq", ex: "sq * lq"}
-    return f""",
-{name}_turns AS (
-  WITH RECURSIVE turn(entity, phase, i, sp, sq, lp, lq) AS (
-    SELECT entity, phase, 0, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM {name}_sums
+    sse = " + ".join(
+        f"({p}) * ({q}) * g_{'_'.join(sorted((x, y)))}" for x, p in [("w0", "1"), *[(v, f"-({value[v]})") for v in xs]]
+        for y, q in [("w0", "1"), *[(v, f"-({value[v]})") for v in xs]])
+    starts = ", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a, b in [(0, 0), *[
+        (a, b) for a in ((-0.5, 0.5) if order.P else (0,)) for b in ((-0.5, 0.5) if order.Q else (0,))]])
+
+    def turns(label: str, source: str, most: int, stop: str) -> str:
+        return f""",
+{name}_{label} AS MATERIALIZED (
+  WITH RECURSIVE turn(entity, phase, start, i, moved, sp, sq, lp, lq) AS (
+    SELECT entity, phase, start, 0, 1::DOUBLE, 0::DOUBLE, 0::DOUBLE, lp, lq FROM {source}
     UNION ALL
-    SELECT entity, phase, i + 1, sp, sq, {two} FROM (
-      SELECT t.entity, t.phase, i, {one}, g.* EXCLUDE (entity, phase) FROM turn t JOIN {name}_sums g
-        ON t.entity = g.entity AND t.phase = g.phase WHERE i < 1500))
-  SELECT * FROM turn WHERE i = 1500),
-{name}_params AS (SELECT entity, phase, {', '.join(f'{value[x]} AS c{i}' for i, x in enumerate(xs))} FROM {name}_turns)"""
+    SELECT entity, phase, start, i + 1, abs(lp - old_lp) + abs(lq - old_lq), sp, sq, lp, lq FROM (
+      SELECT entity, phase, start, i, sp, sq, lp AS old_lp, lq AS old_lq, {two} FROM (
+        SELECT t.entity, t.phase, start, i, lp, lq, {one}, g.* EXCLUDE (entity, phase) FROM turn t JOIN {name}_sums g
+          ON t.entity = g.entity AND t.phase = g.phase WHERE i < {most} AND {stop})))
+  SELECT * FROM turn QUALIFY row_number() OVER (PARTITION BY entity, phase, start ORDER BY i DESC) = 1)"""
+
+    return (
+        f""",
+{name}_starts AS (SELECT entity, phase, lp, lq, lp + 3 * lq AS start FROM {name}_sums, (VALUES {starts}) v(lp, lq))"""
+        + turns("tried", f"{name}_starts", 400, "moved > 1e-15")
+        + f""",
+{name}_best AS (SELECT entity, phase, 0 AS start, arg_min(lp, sse) AS lp, arg_min(lq, sse) AS lq FROM (
+  SELECT t.*, {sse} AS sse FROM {name}_tried t JOIN {name}_sums g ON t.entity = g.entity AND t.phase = g.phase) GROUP BY entity, phase)"""
+        + turns("turned", f"{name}_best", 20000, "moved > 1e-13")
+        + f""",
+{name}_params AS (SELECT entity, phase, {', '.join(f'{value[x]} AS c{i}' for i, x in enumerate(xs))} FROM {name}_turned)"""
+    )
 
 
 def order_ctes(order, name: str, spans: str = "spans", value: str = "value", common: str | None = None, upto: int = 40) -> str:
