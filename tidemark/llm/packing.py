@@ -38,7 +38,7 @@ def encoded(docs: DataFrame, path: str, *, end_id: int = 0, key: str = "doc_id",
         end, step = np.array([end_id], model.dtype).tobytes(), model.dtype.itemsize
         for batch in batches:
             for part in slices(batch, "text", AT_ONCE):
-                raw = [ids + end for ids in model.encode(part.column("text").to_pylist())]
+                raw = [ids + end for ids in model.encode(part.column("text"))]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("source"), pa.array([len(r) // step for r in raw], pa.int64()),
                      pa.array([packer.compress(r) for r in raw], pa.binary())], names=["doc_id", "source", "n", "ids"])

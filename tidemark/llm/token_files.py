@@ -127,7 +127,7 @@ def write_token_files(docs: DataFrame, path: str, *, end_id: int = 0, target: st
                 if writer is None:
                     name = f"{target}/part-{number:06d}-{uuid.uuid4().hex}.zst"
                     writer = Writer(name, model.dtype)
-                for doc_id, ids in zip(part.column("key").to_pylist(), model.encode(part.column("text").to_pylist())):
+                for doc_id, ids in zip(part.column("key").to_pylist(), model.encode(part.column("text"))):
                     writer.add(doc_id, ids + end)
                     tokens += len(ids) // step + 1
         if writer is not None:
