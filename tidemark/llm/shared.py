@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -34,11 +36,35 @@ def staged(df: DataFrame, label: str, compression: str = "zstd", free: bool = Fa
     """
     spark, path = df.sparkSession, folder(df.sparkSession, label)
     df.write.option("compression", compression).parquet(path)
+    for record in _RECORDS:
+        record.append(path)
     if free:
         free_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_RECORDS: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders of all tables that are staged inside the block."""
+    record: list[str] = []
+    _RECORDS.append(record)
+    try:
+        yield record
+    finally:
+        _RECORDS.remove(record)
+
+
+def drop_staged(spark: SparkSession, paths: list[str], *still: DataFrame) -> None:
+    """Remove staged tables whose results have been written, but those that ``still`` reads from; empties ``paths``."""
+    read = {name.rpartition("/")[0].rpartition("/")[2] for df in still for name in df.inputFiles()}
+    for path in [p for p in paths if p.rpartition("/")[2] not in read]:
+        drop_folder(spark, path)
+        paths.remove(path)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Spark removes a shuffle's files once the driver has collected the plan that made them; ask for that now.
 
