@@ -12,7 +12,8 @@ from tools.check import compare, connect
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = (
     "schema_contract quality_gate infer_frequency future_dates fill_edges summary_stats date_bins_box "
-    "decompose_multiplicative grid_leaderboard garch_fit ljung_box arena_leaderboard"
+    "decompose_multiplicative grid_leaderboard garch_fit ljung_box arena_leaderboard root_stability sarima_evaluate "
+    "arima_evaluate_moving_average pacf candidate_comparison"
 ).split()
 
 

@@ -226,16 +226,22 @@ def dynamic_forecast(spark, folder):
     return rounded(forecast.select("entity", "rn", "part", "predicted"), "predicted", digits=6)
 
 
+CANDIDATES = [Order(1, 0, 3), Order(4, 1, 1), Order(2, 1, 3)]
+
+
 def _candidates_sql() -> str:
+    from tidemark.operators.features import difference_weights
+
     text = W + P.FILLED + phases_cte("filled", ALL)
     parts = []
-    for k in (1, 2):
-        text += order_ctes(Order(k), f"k{k}")
-        guess = " + ".join(["c0", *[f"c{i} * w{i}" for i in range(1, k + 1)]])
-        parts.append(
-            f"SELECT d.entity, 'ARIMA({k}, 0, 0)' AS model, value AS actual, {guess} AS predicted "
-            f"FROM k{k}_design d JOIN k{k}_fit f ON d.entity = f.entity WHERE d.rn > {k}"
-        )
+    for k, order in enumerate(CANDIDATES):
+        xs = (["1"] if order.has_const else []) + [f"w{i}" for i in order.ar_lags] + [f"e{i}" for i in order.ma_lags]
+        guess = " + ".join(f"c{i} * {x}" for i, x in enumerate(xs))
+        carried = "".join(f" - ({c}) * y{lag}" for lag, c in difference_weights(order.d).items() if lag)
+        parts.append(own_with(
+            order_ctes(order, f"k{k}"),
+            f"SELECT t.entity, 'ARIMA({order.p}, {order.d}, {order.q})' AS model, value AS actual, {guess}{carried} AS predicted "
+            f"FROM k{k}_train t JOIN k{k}_fit f ON t.entity = f.entity"))
     parts.append(
         "SELECT entity, 'previous value', value, before FROM (SELECT *, lag(value) OVER (PARTITION BY entity ORDER BY rn) "
         "AS before FROM filled) WHERE before IS NOT NULL"
@@ -253,7 +259,7 @@ def candidate_comparison(spark, folder):
         "entity", F.lit("previous value").alias("model"), F.col("value").alias("actual"), F.col("lag_1").alias("predicted")
     )
     other = scoring.regression_report(naive, ["entity", "model"]).select("entity", "model", "r2", "mse", "mae")
-    table = diagnostics.candidate_comparison(series, [Order(1), Order(2)], other)
+    table = diagnostics.candidate_comparison(series, CANDIDATES, other)
     return rounded(table, "r2", "mse", "mae", digits=6)
 
 
