@@ -164,3 +164,13 @@ def test_alignment(spark):
         align.project(target, "value", ["absent"])
     assert align.uncovered(target, target.limit(1)).count() == 2
     assert align.on_timeline(target, target.limit(1).withColumn("predicted", F.lit(1.0))).count() == 3
+
+
+def test_quarantine_with_a_third_of_rows_without_key(spark):
+    rows = [(None, None, None, float(i)) for i in range(300)] + [(f"s{i}", 2000, 1 + i % 4, 1.0) for i in range(599)]
+    rows += [("s5", 2000, 2, 2.0), ("lone", None, 1, 1.0)]
+    df = spark.createDataFrame(rows, "state string, year int, quarter int, pi double").repartition(7)
+    good, bad = quality.split_quarantine(df)
+    reasons = {r["reason"]: r["count"] for r in bad.groupBy("reason").count().collect()}
+    assert reasons.pop("repeated key") == 302 and sum(reasons.values()) == 1
+    assert good.count() == 598 and set(good.columns) == {"state", "year", "quarter", "pi"}

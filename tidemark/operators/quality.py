@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.cleaning import as_date, bad_quarter, is_missing, quarter_end
-from tidemark.operators.axis import Keys, as_list
+from tidemark.operators.axis import Keys, as_list, stage
 
 
 @dataclass(frozen=True)
@@ -160,14 +160,20 @@ def quality_gate(report: DataFrame) -> None:
 
 def split_quarantine(df: DataFrame, *, key: Sequence[str] = ("state", "year", "quarter"),
                      quarter: str = "quarter") -> tuple[DataFrame, DataFrame]:
-    """Rows that pass the gate and rows that do not, with the first reason for each."""
+    """Rows that pass the gate and rows that do not, with the first reason for each.
+
+    A key (missing key parts compare equal) may hold a large share of all rows.  Rows are written once with the number
+    of their task; keys are counted by task first, and rows meet their key's count in pieces of one task each.
+    """
     types = {f.name: f.dataType.typeName() for f in df.schema.fields}
     missing = [F.when(is_missing(c, types[c]), F.lit(f"missing {c}")) for c in df.columns]
-    counted = df.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.count(F.lit(1)).alias("_rows"))
-    repeated = counted.filter(F.col("_rows") > 1)
-    # The right side holds one row per repeated key; missing key parts compare equal.
-    match = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
-    marked = df.join(repeated, match, "left").drop(*[f"_{k}" for k in key])
+    rows = stage(df.withColumn("_task", F.spark_partition_id()), "gate")
+    counted = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in key], "_task").agg(F.count(F.lit(1)).alias("_part"))
+    names = [f"_{k}" for k in key]
+    total = counted.groupBy(*[F.col(k).alias(f"{k}_") for k in names]).agg(F.sum("_part").alias("_rows")).filter("_rows > 1")
+    repeated = counted.join(total, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in names]).select(*names, F.col("_task").alias("_of"), "_rows")
+    match = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key] + [F.col("_task") == F.col("_of")]
+    marked = rows.join(repeated, match, "left").drop(*names, "_task", "_of")
     reason = F.coalesce(
         F.when(F.col("_rows").isNotNull(), F.lit("repeated key")),
         F.when(bad_quarter(quarter), F.lit("invalid quarter")),
