@@ -279,3 +279,30 @@ def test_registered_queries_give_the_columns_asked_for(spark):
     }
     for name, columns in wanted.items():
         assert ", ".join(f"{c} {t}" for c, t in QUERIES[name](spark, "/root/testdata/sf0.001").dtypes) == columns
+
+
+def test_staged_tables_are_removed_but_not_those_still_read(spark):
+    from tidemark.llm.shared import drop_staged, recorded, staged
+
+    with recorded() as outer:
+        first = staged(spark.range(5), "first")
+        with recorded() as inner:
+            second = staged(first, "second")
+        third = staged(second, "third")
+    assert len(outer) == 3 and inner == outer[1:2]
+    drop_staged(spark, outer, third)
+    assert len(outer) == 1 and third.count() == 5
+    with pytest.raises(Exception):
+        spark.read.parquet(inner[0]).count()
+    drop_staged(spark, outer)
+    assert not outer
+
+
+def test_equal_hashes_in_the_word_memory_are_told_apart():
+    from tidemark.llm.bytebpe import Memory
+
+    data = np.frombuffer(b"alphabeta", np.uint8)
+    memory = Memory(np.dtype("<u2"))
+    memory.add(np.array([7], np.uint64), [b"alpha"], [np.array([1, 2], "<u2").tobytes()])
+    found = memory.find(np.array([7, 7, 8], np.uint64), data, np.array([0, 5, 0]), np.array([5, 9, 5]))
+    assert found.tolist() == [0, -1, -1]

@@ -54,7 +54,7 @@ def recorded() -> Iterator[list[str]]:
     try:
         yield record
     finally:
-        _RECORDS.remove(record)
+        _RECORDS[:] = [r for r in _RECORDS if r is not record]
 
 
 def drop_staged(spark: SparkSession, paths: list[str], *still: DataFrame) -> None:
