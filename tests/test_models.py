@@ -419,3 +419,15 @@ def test_criteria_count_the_same_rows(spark, small_blocks):
     first = next(f for f in fits if (f["entity"], f["order_index"]) == ("a", 1))
     resid = A[1:] - first["coef"][0] - first["coef"][1] * A[:-1]
     assert first["sse"] == pytest.approx((resid[-first["nobs"]:] ** 2).sum())
+
+
+def test_partial_autocorrelations(spark, small_blocks):
+    found = {(r["entity"], r["lag"]): r for r in diagnostics.pacf(two(spark), 12).collect()}
+    assert len(found) == 24
+    for entity, y in (("a", A), ("b", B)):
+        x = y - y.mean()
+        r = np.array([(x[k:] * x[: len(x) - k]).sum() for k in range(13)])
+        for k in (1, 2, 5, 12):
+            last = np.linalg.solve(r[np.abs(np.subtract.outer(range(k), range(k)))], r[1: k + 1])[-1]
+            assert found[entity, k]["pacf"] == pytest.approx(last)
+        assert found[entity, 1]["band"] == pytest.approx(1.959963984540054 / np.sqrt(len(y)))
