@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -104,11 +105,60 @@ def test_language_rows_and_accuracy(spark):
 
 
 def test_network_tables_equal_the_convolution():
+    """The folded tables against the filters slid over embedded bytes, and the learned network on its own texts."""
+    rng = np.random.default_rng(4)
+    embed, filters, bias = rng.normal(size=(256, 3)), rng.normal(size=(language.SPAN, 3, 5)), rng.normal(size=5)
+    data = rng.integers(0, 256, (4, language.WINDOW), dtype=np.uint8)
+    net = language.Network(["x"], *language.folded(embed, filters), bias, np.zeros((5, 1)), np.zeros(1))
+    for window, pooled in zip(data, net.pooled(data)):
+        at = range(language.WINDOW - language.SPAN + 1)
+        slid = [[sum(embed[window[i + k]] @ filters[k, :, f] for k in range(language.SPAN)) for i in at] for f in range(5)]
+        assert np.allclose(pooled, np.maximum(np.max(slid, axis=1) + bias, 0), atol=1e-4)
     net = language.train(["aaaa bbbb " * 30, "cccc dddd " * 30], ["x", "y"], steps=40)
-    odds = net.probabilities(language.cut(*language.text_bytes(language.pa.array(["aaaa bbbb " * 30, "dddd cccc " * 30])))[0])
+    odds = [net.probabilities(w) for w, _, _ in language.cut(*language.text_bytes(pa.array(["aaaa bbbb " * 30, "dddd cccc " * 30])))]
+    odds = np.concatenate(odds)
     assert odds[0].argmax() == 0 and odds[-1].argmax() == 1 and np.allclose(odds.sum(axis=1), 1)
 
 
+def test_windows_are_cut_in_steps():
+    texts = ["", "a" * 5, "b" * language.WINDOW, "", "c" * (3 * language.WINDOW + 1), "é" * 200, ""]
+    data, offsets = language.text_bytes(pa.array(texts))
+    expected = []
+    for k, t in enumerate(texts):
+        raw = t.encode()
+        for i in range(0, len(raw), language.WINDOW):
+            part = raw[i:i + language.WINDOW]
+            expected.append((part.ljust(language.WINDOW, b"\0"), k, len(part)))
+    for most in (1, 2, 3, 100):
+        steps = list(language.cut(data, offsets, most))
+        assert all(len(w) <= most for w, _, _ in steps)
+        assert [(w.tobytes(), r, n) for part in steps for w, r, n in zip(*part)] == expected
+
+
+def test_training_windows_are_bounded_and_drawn_from_whole_texts(spark):
+    long = "".join(chr(97 + k // 4000) * 10 for k in range(80_000))  # letters change along the text
+    texts = [long, *sentences(21, 3000, 12), *["same text"] * 200, None, "", "x"]
+    langs = ["xx"] + ["en"] * 3000 + ["de"] * 200 + ["en", "fr", None]
+    docs = frame(spark, texts, ids=[0, *range(1, 3001), *[None] * 100, *[7] * 100, 8, 8, 8], langs=langs).repartition(5)
+    found = language.training_windows(docs, per_language=50, windows=30)
+    assert set(found) == {"xx", "en", "de"}  # 0, 7 and 8 are not held out
+    assert len(found["de"]) == 1 and len(found["en"]) == 50 and 20 < len(found["xx"]) <= 30
+    assert len({w[0] for w in found["xx"]}) > 10
+    again = language.training_windows(docs.repartition(3), per_language=50, windows=30)
+    assert all((found[k] == again[k]).all() for k in found)
+
+
+def test_language_of_a_long_text_in_bounded_memory():
+    net = language.train(["aaaa bbbb " * 30, "cccc dddd " * 30], ["x", "y"], steps=40)
+    part = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["aaaa bbbb " * 400_000, "cccc dddd "]), pa.array([True, True])],
+                                      names=["key", "text", "known"])
+    tracemalloc.start()
+    rows = language._labelled(net, part, False).to_pylist()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r["lang_pred"] for r in rows] == ["x", "y"] and most < 60 << 20
+
+
 def windows(text, n):
     w = WORD.findall(text or "")
     return w, [tuple(w[i:i + n]) for i in range(len(w) - n + 1)]
@@ -179,11 +229,11 @@ def test_join_links_as_brute_force(spark, odd_texts, size, percent):
         assert r["first"] == (r["component_id"] == r["doc_id"])
 
 
-@pytest.mark.parametrize("size", [1, 2, 13])
+@pytest.mark.parametrize("size", [1, 2, 13, 29])
 def test_substrings_as_brute_force(spark, odd_texts, size):
     rng = random.Random(9)
     texts = list(odd_texts)
-    passage = " ".join(texts[8].split()[:20])
+    passage = " ".join((texts[8] + " " + texts[10]).split()[:max(20, size + 3)])
     texts += [f"{a} \n {passage}\t{b}" for a, b in zip(texts[3:9], texts[9:15])]
     rng.shuffle(texts)
     first = {}
@@ -198,6 +248,27 @@ def test_substrings_as_brute_force(spark, odd_texts, size):
         assert (rows[k]["n_words"], rows[k]["n_removed"], rows[k]["kept"]) == (len(w), len(gone), kept)
 
 
+def test_levels_double_from_short_windows():
+    assert substrings.levels(50) == [7, 13, 25, 50] and substrings.levels(13) == [7, 13]
+    assert substrings.levels(7) == [4, 7] and substrings.levels(2) == [1, 2] and substrings.levels(1) == [1]
+    for n in range(1, 300):
+        made = substrings.levels(n)
+        assert made[-1] == n and all(a < b <= 2 * a for a, b in zip(made, made[1:]))
+
+
+@pytest.mark.parametrize("passage, passes", [(0, 0), (5, 0), (9, 1), (20, 2), (60, 3)])
+def test_doubling_ends_where_nothing_repeats(spark, monkeypatch, passage, passes):
+    """Levels 7, 13, 25, 50: a passage of nine words is given up after the second one, and so on."""
+    done = []
+    extended = substrings._extended
+    monkeypatch.setattr(substrings, "_extended", lambda *a: done.append(a[3]) or extended(*a))
+    shared_words = [f"s{k}" for k in range(passage)]
+    texts = [" ".join([*(f"{name}{k}" for k in range(80)), *shared_words, f"{name}end"]) for name in "abc"]
+    rows = substrings.remove_repeated(frame(spark, texts), 50).collect()
+    assert done == [13, 25, 50][:passes]
+    assert {r["doc_id"]: r["n_removed"] for r in rows} == ({0: 0, 1: 60, 2: 60} if passage == 60 else {0: 0, 1: 0, 2: 0})
+
+
 def test_equal_and_missing_keys_take_nothing(spark):
     text = " ".join(sentences(4, 3))
     rows = substrings.remove_repeated(frame(spark, [text] * 4, ids=[1, 1, None, 2]), 5).collect()

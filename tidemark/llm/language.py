@@ -8,14 +8,13 @@ are folded into tables over pairs of bytes: a filter of width four is two look-u
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import slices, small_batches, text_bytes, whole_text
@@ -24,8 +23,9 @@ WINDOW = 192
 WIDTHS = (2, 3, 4)
 SPAN = max(WIDTHS)
 UNKNOWN = "und"
-#: Windows predicted at a time, and bytes of text taken from an Arrow batch at a time.
+#: Windows predicted at a time, windows cut at a time, and bytes of text taken from an Arrow batch at a time.
 TOGETHER = 256
+CUT = 2048
 AT_ONCE = 1 << 20
 
 
@@ -57,30 +57,46 @@ class Network:
         return odds / odds.sum(axis=1, keepdims=True)
 
 
-def cut(data: np.ndarray, offsets: np.ndarray, length: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes as windows of ``length``, the last of a row padded with zeros; also each window's row."""
-    sizes = np.diff(offsets)
-    each = -(-sizes // length)
-    row = np.repeat(np.arange(len(sizes)), each)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
-    begin = offsets[:-1][row] + place * length
-    take = begin[:, None] + np.arange(length)
-    inside = take < offsets[1:][row][:, None]
+def filled(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The window from each ``begin`` on, zeros from ``end`` on."""
+    take = begin[:, None] + np.arange(WINDOW)
+    inside = take < end[:, None]
     windows = np.zeros(take.shape, np.uint8)
     windows[inside] = data[take[inside]]
-    return windows, row
+    return windows
 
 
-def train(texts: list[str], langs: list[str], *, filters: int = 12, embedding: int = 8, steps: int = 400, batch: int = 64,
-          rate: float = 0.02, seed: int = 7) -> Network:
+def cut(data: np.ndarray, offsets: np.ndarray, most: int = CUT) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All bytes as windows, at most ``most`` at a time: windows (the last of a row padded with zeros), rows, bytes of text in each."""
+    upto = np.concatenate([[0], np.cumsum(-(-np.diff(offsets) // WINDOW))])
+    for k in range(0, int(upto[-1]), most):
+        number = np.arange(k, min(k + most, int(upto[-1])))
+        row = np.searchsorted(upto, number, side="right") - 1
+        begin, end = offsets[row] + (number - upto[row]) * WINDOW, offsets[row + 1]
+        yield filled(data, begin, end), row, np.minimum(WINDOW, end - begin)
+
+
+def folded(embed: np.ndarray, filters: np.ndarray) -> list[np.ndarray]:
+    """Tables over pairs of bytes, for the first and the last half of a span, from embeddings and filters by place."""
+    by_place = np.einsum("ve,kef->kvf", embed, filters).astype(np.float32)
+    return [(by_place[k][:, None] + by_place[k + 1][None]).reshape(65536, -1) for k in (0, 2)]
+
+
+def train(texts: list[str], langs: list[str], **options) -> Network:
+    """Fit the network on all windows of labelled texts."""
+    pools = {}
+    for lang in sorted(set(langs)):
+        column = pa.array([t for t, own in zip(texts, langs) if own == lang and t], pa.string())
+        pools[lang] = np.concatenate([np.zeros((0, WINDOW), np.uint8), *(w for w, _, _ in cut(*text_bytes(column)))])
+    return train_windows(pools, **options)
+
+
+def train_windows(found: Mapping[str, np.ndarray], *, filters: int = 12, embedding: int = 8, steps: int = 400, batch: int = 64,
+                  rate: float = 0.02, seed: int = 7) -> Network:
     """Fit the network on windows drawn evenly over the languages, by Adam."""
     rng = np.random.default_rng(seed)
-    languages = sorted(set(langs))
-    pools = []
-    for lang in languages:
-        column = pa.array([t for t, own in zip(texts, langs) if own == lang and t], pa.string())
-        windows, _ = cut(*text_bytes(column))
-        pools.append(windows if len(windows) else np.zeros((1, WINDOW), np.uint8))
+    languages = sorted(found)
+    pools = [found[lang] if len(found[lang]) else np.zeros((1, WINDOW), np.uint8) for lang in languages]
     total = filters * len(WIDTHS)
     count = WINDOW - SPAN + 1
     used = np.zeros((SPAN, 1, total), np.float32)  # filters narrower than the span see its first bytes only
@@ -125,33 +141,58 @@ def train(texts: list[str], langs: list[str], *, filters: int = 12, embedding: i
             mean[k] = 0.9 * mean[k] + 0.1 * g
             square[k] = 0.999 * square[k] + 0.001 * g * g
             w[k] -= rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)
-    by_place = np.einsum("ve,kef->kvf", weights["embed"], weights["filter"] * used).astype(np.float32)
-    tables = [(by_place[k][:, None] + by_place[k + 1][None]).reshape(65536, total) for k in (0, 2)]
+    tables = folded(weights["embed"], weights["filter"] * used)
     return Network(languages, *tables, weights["bias"], weights["dense"], weights["offset"])
 
 
 def held_out(key: str = "doc_id") -> Column:
-    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(3)) == 1
+    """Rows that are never learned from: crc32 of the key as text leaves 1 by 3; a row without a key is one of them."""
+    return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(True))
 
 
-def training_rows(docs: DataFrame, *, per_language: int = 300, longest: int = 8000, key: str = "doc_id") -> list:
-    """At most ``per_language`` labelled rows of each language (a bounded sample, the documented parameter).
+def training_windows(docs: DataFrame, *, per_language: int = 300, windows: int = 40, key: str = "doc_id") -> dict[str, np.ndarray]:
+    """Windows of at most ``per_language`` labelled rows of each language, at most ``windows`` of a row (the documented bounds).
 
-    Only rows whose crc32 of the key leaves another remainder than 1 by 3 are used.  The sample goes by the hash of
-    the key, so any source may be in it; ``longest`` characters of each text bound what the driver holds.
-    Languages are few; for each, a bounded heap of every task meets on the driver.
+    Held-out rows and empty texts are left out, repeated rows count once.  A hash of key and text draws about twice as many rows
+    as are wanted, whatever the table's size; the first of them by hash are taken.  A row's windows are drawn from
+    its whole text where it lies, so a language brings ``per_language * windows`` windows to the driver at most.
     """
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(key), F.lit(True)))
-    rows = rows.select(F.col("lang").cast("string").alias("lang"), F.substring("text", 1, longest).alias("text"),
-                       F.xxhash64(F.col(key)).alias("order"))
-    names = [r["lang"] for r in rows.select("lang").distinct().sort("lang").collect()]
-    return [r for name in names for r in rows.filter(F.col("lang") == name).sort("order", "text").limit(per_language).collect()]
-
-
-def fit(docs: DataFrame, *, per_language: int = 300, key: str = "doc_id") -> Network | None:
+    small_batches(docs.sparkSession)
+    usable = F.col("lang").isNotNull() & (F.octet_length(F.col("text").cast("string")) > 0) & ~held_out(key)
+    rows = docs.filter(usable).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"),
+                                      F.xxhash64(F.col(key), F.col("text")).alias("order"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("order").alias("n")).collect()}
+    if not sizes:
+        return {}
+    shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2.0 * per_language / max(n, 1)))])
+    likely = rows.filter(F.shiftrightunsigned("order", 11) / F.lit(2.0**53) < shares[F.col("lang")])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for text, order in zip(batch.column("text"), batch.column("order").to_pylist()):
+                data = np.frombuffer(text.as_buffer(), np.uint8)
+                each = -(-len(data) // WINDOW)
+                place = np.arange(each)
+                if each > windows:
+                    place = np.unique(np.random.default_rng(order % (1 << 63)).integers(each, size=windows))
+                made.append(filled(data, place * WINDOW, np.full(len(place), len(data))).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("order"), pa.array(made, pa.binary())],
+                                             names=["lang", "order", "windows"])
+
+    drawn = likely.mapInArrow(draw, "lang string, order long, windows binary").dropDuplicates(["lang", "order"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
+    taken = drawn.withColumn("rank", rank).filter(F.col("rank") <= per_language).collect()
+    pools = {lang: [] for lang in sizes}
+    for r in sorted(taken, key=lambda r: r["order"]):
+        pools[r["lang"]].append(np.frombuffer(r["windows"], np.uint8).reshape(-1, WINDOW))
+    return {lang: np.concatenate([np.zeros((0, WINDOW), np.uint8), *own]) for lang, own in pools.items()}
+
+
+def fit(docs: DataFrame, *, per_language: int = 300, windows: int = 40, key: str = "doc_id") -> Network | None:
     """The network, or None if there is no labelled text to learn from."""
-    rows = training_rows(docs, per_language=per_language, key=key)
-    return train([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
+    found = training_windows(docs, per_language=per_language, windows=windows, key=key)
+    return train_windows(found) if found else None
 
 
 def predict(docs: DataFrame, network: Network | None, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
@@ -169,10 +210,11 @@ def predict(docs: DataFrame, network: Network | None, key: str = "doc_id", text:
         none = rows.select(F.col("key").alias(key), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), "text")
         return none if with_text else none.drop("text")
     # About 20 MB whatever the input: tables of 65,536 rows for a fixed number of filters.
-    held = spark.sparkContext.broadcast(pickle.dumps(network))
+    # Plain arrays, so that executors need no module of ours to read them.
+    held = spark.sparkContext.broadcast(tuple(vars(network).values()))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pickle.loads(held.value)
+        model = Network(*held.value)
         for batch in batches:
             for part in slices(batch, "text", AT_ONCE):
                 yield _labelled(model, part, with_text)
@@ -186,13 +228,9 @@ def _labelled(model: Network, part: pa.RecordBatch, with_text: bool) -> pa.Recor
     n, known = part.num_rows, part.column("known").to_numpy(zero_copy_only=False)
     sums = np.zeros((n, len(model.languages)))
     weight = np.zeros(n)
-    step = WINDOW * TOGETHER * 8
-    windows, row = cut(data, offsets)
-    sizes = np.minimum(WINDOW, offsets[1:][row] - (offsets[:-1][row] + WINDOW * (np.arange(len(row)) - np.searchsorted(row, row))))
-    for k in range(0, len(windows), step):
-        odds = model.probabilities(windows[k:k + step]) * sizes[k:k + step, None]
-        np.add.at(sums, row[k:k + step], odds)
-        np.add.at(weight, row[k:k + step], sizes[k:k + step])
+    for windows, row, sizes in cut(data, offsets):
+        np.add.at(sums, row, model.probabilities(windows) * sizes[:, None])
+        np.add.at(weight, row, sizes)
     share = sums / np.maximum(weight, 1)[:, None]
     names = np.array(model.languages, dtype=object)[share.argmax(axis=1)]
     return pa.RecordBatch.from_arrays(
