@@ -6,7 +6,8 @@ all of them; what it finds is verified by the weighted Jaccard similarity of wor
 weighing as often as it occurs.  At a document's edge a window ends with the document, so an item that
 the document holds without its first or last words is found too.  A window without any shingle of an item has similarity 0, so
 windows are laid only where a shingle of an item of their length stands, at the place that lines
-both up.  Built from DataFrame functions alone.
+both up.  Built from DataFrame functions alone;
+the benchmark's tables are staged, so Spark knows their bytes and broadcasts only what its own threshold allows.
 """
 
 from __future__ import annotations
@@ -20,8 +21,6 @@ from tidemark.llm.shared import WORD, let, staged, whole_text
 RADIUS = 20
 BLOCKS = RADIUS + 1
 BITS = 64
-#: Rows of the benchmark's side of a join that are broadcast; beyond it the join shuffles.
-SMALL = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -57,10 +56,6 @@ def blocks(fingerprint: Column) -> Column:
                      for k, (a, b) in enumerate(zip(edges, edges[1:]))])
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
 def benchmark_items(benchmark: DataFrame, size: int, key: str, text: str) -> DataFrame:
     """``item_id``, ``m`` (words), ``step`` (shingle size), ``marks`` (weighted shingles), ``shingles``, ``print``; items with words only."""
     hashed = benchmark.select(
@@ -102,7 +97,7 @@ def found_rows(rows: DataFrame, benchmark: DataFrame, *, size: int = 5, least: f
     for step in steps:
         places = hashed.select("row", F.posexplode(let(F.col("h"), lambda h: shingle_hashes(h, step))).alias("place", "shingle"))
         own = staged(spots.filter(F.col("step") == step).drop("step"), "benchmark-shingles")
-        hits = places.join(_small(own), "shingle").select("row", "m", (F.col("place") - F.col("at")).alias("start"))
+        hits = places.join(own, "shingle").select("row", "m", (F.col("place") - F.col("at")).alias("start"))
         hits = hits.distinct().withColumn("step", F.lit(step))
         found = hits if found is None else found.union(hits)
     if found is None:
@@ -124,10 +119,10 @@ def found_rows(rows: DataFrame, benchmark: DataFrame, *, size: int = 5, least: f
 
     left = windows.select("row", "m", "start", "words", "print", F.inline(blocks(F.col("print"))))
     right = items.select("item_id", "m", F.col("print").alias("item_print"), F.inline(blocks(F.col("print"))))
-    near = left.join(_small(right), ["m", "block", "bits"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
+    near = left.join(right, ["m", "block", "bits"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
     pairs = near.select("row", "m", "start", "words", "item_id").distinct()
     both = pairs.join(windows.select("row", "m", "start", "words", "marks"), ["row", "m", "start", "words"])
-    both = both.join(_small(items.select("item_id", F.col("marks").alias("item_marks"))), "item_id")
+    both = both.join(items.select("item_id", F.col("marks").alias("item_marks")), "item_id")
     shared = F.size(F.array_intersect("marks", "item_marks"))
     total = F.size("marks") + F.size("item_marks")
     scored = both.select("row", "item_id", "start", (shared / (total - shared)).alias("similarity")).filter(F.col("similarity") >= least)

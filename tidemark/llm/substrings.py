@@ -1,9 +1,9 @@
 """Removal of word passages that an earlier document has too, by level-wise doubling.
 
-First all windows of about half the wanted length are counted over the corpus.  Only those that two
-or more documents hold are extended to twice their length (the last step may overlap, so that the
-wanted length comes out exactly): a longer window can repeat only if both of its halves do.  Levels
-follow until the wanted length is reached or no candidate survives.
+First all windows of a few words are counted over the corpus.  Only those that two or more documents
+hold are extended to twice their length (a step may overlap by a word, so that the wanted length
+comes out exactly): a longer window can repeat only if both of its halves do.  Levels follow until
+the wanted length is reached or no candidate survives.
 """
 
 from __future__ import annotations
@@ -19,9 +19,16 @@ from tidemark.llm.census import Answers, SENT, all_windows, bucket_bits, chunked
 from tidemark.llm.shared import _SPACES, staged, text_bytes, window_hashes, word_hashes
 
 
+#: Most words of a window on the first level.
+SHORT = 7
+
+
 def levels(words: int) -> list[int]:
-    """Window lengths: one doubling up to ``words``."""
-    return [words] if words == 1 else [-(-words // 2), words]
+    """Window lengths that double up to ``words``, from ``SHORT`` words or fewer; one doubling at least where there can be one."""
+    made = [words]
+    while made[0] > SHORT or len(made) == 1 and words > 1:
+        made.insert(0, -(-made[0] // 2))
+    return made
 
 
 class Chunk:
