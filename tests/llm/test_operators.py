@@ -432,6 +432,42 @@ def test_long_comments_and_lists_of_cards_stay_out():
     assert html_text.main_text(f"{story}<div class='page' hidden><article><p>{'not shown ' * 50}</p></article></div>") == "A short story that is told here in full."
 
 
+MENU = "<div><a href=/a>Home</a> <a href=/b>News</a> <a href=/c>Sport</a></div>"
+ADVERT, RIGHTS = "<div>Buy this now</div>", "<div>(c) us, all rights</div>"
+
+
+def paragraphs(word, n, words=12):
+    texts = [f"{' '.join([word] * words)} {i}." for i in range(n)]
+    return "".join(f"<p>{t}</p>" for t in texts), " ".join(texts)
+
+
+@pytest.mark.parametrize("start, end", [("", ""), ("<div>", "</div>"), ("<table><tr><td>", "</td></tr></table>")])
+def test_density_alone_finds_the_article(start, end):
+    body, text = paragraphs("story", 5)
+    page = f"{start}{MENU}{ADVERT}<div><h1>A title</h1>{body}</div>{RIGHTS}{end}"
+    assert html_text.main_text(page) == f"A title {text}"
+    teasers = "<div>" + "<article><h3><a href=x>Card</a></h3><p>More to read</p></article>" * 3 + "</div>"
+    assert html_text.main_text(f"{start}<div>{body}</div>{teasers}{end}") == text
+    teaser = "<article><h3>Card</h3><p>More</p></article>"
+    assert html_text.main_text(f"{start}<div>{body}</div>{teaser}{end}") == text
+    linked = "<div>" + "<a href=x><div>Read on</div><p>More to read</p></a>" * 3 + "</div>"
+    assert html_text.main_text(f"{start}<div>{body}</div>{linked}{end}") == text
+
+
+def test_density_leaves_no_part_of_the_article_out():
+    (one, first), (two, second), (talk, talked) = paragraphs("one", 10, 60), paragraphs("two", 3, 50), paragraphs("hi", 30, 8)
+    assert html_text.main_text(f"<div>{one}</div><div>{two}</div>") == f"{first} {second}"
+    assert html_text.main_text(f"{MENU}<div>{one}</div><div>{talk}</div>") == f"{first} {talked}"
+    assert html_text.main_text(f"{MENU}<div>{one}</div><div><h2>End</h2><p>Short.</p></div>") == f"{first} End Short."
+    assert html_text.main_text(f"{MENU}<h1>Title</h1><div>By us</div><div>{one}</div>") == f"Title By us {first}"
+    assert html_text.main_text(f"{MENU}<div>{one}</div><p><a href=x>one link</a></p><div>{two}</div>") == f"{first} one link {second}"
+    assert html_text.main_text(f"<article>{one}</article><article>{one}</article>{MENU}") == f"{first} {first}"
+    assert html_text.main_text(f"<main>{MENU}<p>Lead</p><div>{one}</div><div>Last words.</div></main>") == f"Lead {first} Last words."
+    assert html_text.main_text(f"<article><p>By us</p><div>{one}</div><div>Last words.</div></article>{MENU}") == f"By us {first} Last words."
+    assert html_text.main_text(f"<div><a name=top><a href=/x>Home<div>{one}</div></div>") == first
+    assert html_text.main_text("<p><a href=1>One link</a></p><p><a href=2>Two link</a></p>") == "One link Two link"
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (2, None, "<p>é a</p>", 1), (2, None, "<p>é a</p>", 1), (None, "v", "", 1)],
                                   "page_id long, url string, html string, n_chars int")

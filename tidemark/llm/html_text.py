@@ -1,17 +1,24 @@
 """Main text of web pages by composite text density.
 
 Every DOM node gets its text density: characters for each tag, adjusted for characters in links.
-A node's density sum is that of its children.  The subtree with the largest sum is the core of the
-article; the smallest density on the path from it up to the body is the threshold, and the text is
-taken from the smallest subtree that holds every block that reaches the threshold.  Elements that
-HTML itself or their class, id or role name as menus, adverts, forms and the like are no content,
-unless they hold the page's article or most of its text: such containers are judged by density.
+A block's density sum is that of the blocks right below it and of its own text beside them, or its own
+density if there are none.  The block with the largest sum is the core of the article; the smallest
+density on the path from it up to the page's frame is the threshold, and the text is taken from the
+smallest subtree that holds the core, every block beside it that reaches the threshold, has a tenth of
+its text or is a heading.  The blocks on the way up from the core reach the threshold by definition and
+do not count.  Lists of links that neither are in such a block nor hold one stay out.
+
+An article element is taken whole if it has the core and others are short, or if it is the only one and
+has more than a tenth of the core's text; in a main element only lists of links stay out.  Elements that HTML itself
+or their class, id or role name as menus, adverts, forms and the like are no content, unless they hold
+the page's article or most of its text: such containers are judged by density.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -32,6 +39,7 @@ TAG = re.compile(
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 NAME_PARTS = re.compile(r"[a-z]+")
+TARGET = re.compile(r"\bhref\b", re.I)
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -58,16 +66,22 @@ NO_CONTENT_WORDS = frozenset(
 #: CLOSED only with the page's article in it.  NAMED is for nodes that have no other name, MIXED for the others.
 NEVER, CLOSED, NAMED, MIXED = 2.0, 1.0, 0.9, 0.5
 ENTERED = {"nav": CLOSED, "footer": CLOSED, "menu": CLOSED, "aside": NAMED, "header": NAMED, "dialog": NAMED, "object": NAMED, "form": MIXED}
+#: Headings that belong to the article wherever they stand, and the part of the core's text that is too much to leave out.
+HEADINGS, MUCH = ("h1", "h2"), 0.1
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "links", "tags", "link_tags", "density", "sum", "skip", "inline")
+    __slots__ = ("tag", "parent", "children", "chars", "links", "tags", "link_tags", "density", "sum", "skip", "inline", "target",
+                 "linked", "own", "own_links", "first", "last")
 
-    def __init__(self, tag: str, parent: Node | None, skip: float):
-        self.tag, self.parent, self.skip = tag, parent, skip
+    def __init__(self, tag: str, parent: Node | None, skip: float, target: bool = False):
+        self.tag, self.parent, self.skip, self.target = tag, parent, skip, target
         self.children: list[Node | str] = []
         self.inline = tag in INLINE
+        self.linked = False
         self.chars = self.links = self.tags = self.link_tags = 0
+        #: Characters outside the blocks below, and the positions of the subtree among the measured nodes.
+        self.own = self.own_links = self.first = self.last = 0
         self.density = self.sum = 0.0
 
 
@@ -122,6 +136,8 @@ def parse(html: str) -> Node:
                     articles -= here.tag in ("article", "main")
                     here = here.parent
                 articles -= here.tag in ("article", "main")
+                # An unclosed link must not make links of all that follows.
+                here.linked = here.target
                 here = here.parent
             elif name in ("br", "p"):
                 here.children.append("\n")
@@ -138,7 +154,7 @@ def parse(html: str) -> Node:
                 while here is not node.parent:
                     articles -= here.tag in ("article", "main")
                     here = here.parent
-        node = Node(name, here, _no_content(name, rest, articles > 0))
+        node = Node(name, here, _no_content(name, rest, articles > 0), name == "a" and TARGET.search(rest) is not None)
         here.children.append(node)
         if name in RAW:
             close = re.compile(f"</{name}", re.I).search(html, at)
@@ -186,62 +202,131 @@ def enter_containers(root: Node) -> Node:
     return root
 
 
+def _density(chars: int, links: int, tags: int, link_tags: int, rate: float) -> float:
+    base = math.log(chars / max(1, chars - links) * links + rate * chars + math.e)
+    return chars / tags * max(0.0, math.log(chars / max(1, links) * tags / max(1, link_tags))) / base
+
+
 def measure(root: Node) -> list[Node]:
-    """Count characters, tags and links below every content node; gives the nodes, parents first."""
+    """Count characters, tags and links below every content node; gives the nodes, parents first, in page order."""
     nodes, stack = [], [root]
     while stack:
         node = stack.pop()
+        node.first = node.last = len(nodes)
+        node.linked |= node is not root and node.parent.linked
         nodes.append(node)
         stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.skip)
     for node in reversed(nodes):
-        node.chars += sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
-        node.tags += 1
+        text = sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
+        node.chars, node.own, node.tags = node.chars + text, node.own + text, node.tags + 1
+        if node.linked:
+            node.links, node.own_links = node.chars, node.own
         if node.tag == "a":
-            node.links, node.link_tags = node.chars, node.link_tags + 1
-        if node.parent is not None:
+            node.link_tags += node.linked
+        if node is not root:
             up = node.parent
             up.chars, up.links, up.tags, up.link_tags = (up.chars + node.chars, up.links + node.links, up.tags + node.tags,
                                                          up.link_tags + node.link_tags)
+            up.last = max(up.last, node.last)
+            if node.inline:
+                up.own, up.own_links = up.own + node.own, up.own_links + node.own_links
     rate = root.links / max(1, root.chars)
-    for node in nodes:
-        if node.chars:
-            c, lc, t, lt = node.chars, node.links, node.tags, node.link_tags
-            base = math.log(c / max(1, c - lc) * lc + rate * c + math.e)
-            node.density = c / t * max(0.0, math.log(c / max(1, lc) * t / max(1, lt))) / base
-        if node.parent is not None:
-            node.parent.sum += node.density
+    for node in reversed(nodes):
+        if node.chars and not node.linked:
+            node.density = _density(node.chars, node.links, node.tags, node.link_tags, rate)
+            if not node.inline:
+                if node.own == node.chars:
+                    node.sum = node.density
+                elif node.own:
+                    node.sum += _density(node.own, node.own_links, 1, 1 if node.own_links else 0, rate)
+        if node is not root:
+            node.parent.sum += node.sum if node.inline else node.density
     return nodes
 
 
 def chosen(root: Node) -> Node:
-    """The smallest subtree that holds every block as dense as the thinnest node above the densest subtree."""
+    """The article's subtree; blocks in it that are mere lists of links get the mark of no content."""
     nodes = measure(root)
-    marked = [n for n in nodes if n.tag in ("article", "main")]
-    if marked:  # a page that names its article is searched there
-        root = max(marked, key=lambda n: n.chars)
-        below = {id(root)}
-        nodes = [n for n in nodes if id(n) in below or (id(n.parent) in below and not below.add(id(n)))]
-    core = max(nodes, key=lambda n: n.sum)
-    threshold, node = core.density, core
+    named = sorted(_outermost(nodes, ("article", "main")), key=lambda n: -n.chars)
+    main = named[0] if named and named[0].tag == "main" else None
+    if main is not None:
+        root, nodes = main, nodes[main.first:main.last + 1]
+    core = max((n for n in nodes if not n.inline), key=lambda n: n.sum)
+    if not core.sum:
+        return named[0] if len(named) == 1 else root
+    while below := [c for c in core.children if isinstance(c, Node) and not c.skip and not c.inline and c.sum == core.sum]:
+        core = below[0]
+    if main is None and named and (len(named) == 1 or 2 * named[1].chars < named[0].chars):
+        article = named[0]
+        least = MUCH if len(named) == 1 else 0.5  # less beside the core is a teaser
+        if _holds(article, core) or (len(named) == 1 or _holds(core, article)) and article.chars > least * core.chars:
+            return article
+    threshold, per_tag = _thresholds(core, root, [n.first for n in nodes if _link_list(n)])
+    marks, until = [core], -1
+    for n in nodes:
+        if n.first <= until or n.inline or not n.chars or _holds(n, core):
+            continue
+        plain = 2 * n.links <= n.chars
+        dense = n.density >= threshold or plain and (n.chars >= per_tag * n.tags or n.chars - n.links >= MUCH * core.chars)
+        if dense or _link_list(n):
+            until = n.last  # what is in a dense block stays, headings of lists of links are none of the article's
+        if dense or plain and n.tag in HEADINGS:
+            marks.append(n)
+    start, end = min(n.first for n in marks), max(n.last for n in marks)
+    node = main or core
+    while node.first > start or node.last < end:
+        node = node.parent
+    if 2 * node.links <= node.chars:
+        _leave_link_lists(node, [n for n in marks if n is not root])
+    return node
+
+
+def _thresholds(core: Node, root: Node, lists: list[int]) -> tuple[float, float]:
+    """The smallest density, and characters for each tag, of the core and what is above it.
+
+    Containers that also hold a list of links beside the core are the page's frame: as thin as its menus, they tell nothing.
+    """
+    threshold, per_tag, node = core.density, core.chars / core.tags, core
     while node is not root:
         node = node.parent
-        threshold = min(threshold, node.density)
-    dense = [n for n in nodes if not n.inline and n.chars and n.density >= threshold] or [core]
-    path = _path(core, root)
-    for n in dense:
-        own = _path(n, root)
-        same = 0
-        while same < min(len(path), len(own)) and path[same] is own[same]:
-            same += 1
-        path = path[:same]
-    return path[-1]
-
-
-def _path(node: Node, root: Node) -> list[Node]:
-    out = [node]
-    while out[-1] is not root:
-        out.append(out[-1].parent)
-    return out[::-1]
+        outside = bisect_left(lists, core.first) - bisect_left(lists, node.first)
+        beside = outside + bisect_left(lists, node.last + 1) - bisect_left(lists, core.last + 1)
+        if beside:
+            break
+        threshold, per_tag = min(threshold, node.density), min(per_tag, node.chars / node.tags)
+    return threshold, per_tag
+
+
+def _outermost(nodes: list[Node], tags: tuple[str, ...]) -> list[Node]:
+    out, until = [], -1
+    for n in nodes:
+        if n.first > until and n.chars and n.tag in tags:
+            out.append(n)
+            until = n.last
+    return out
+
+
+def _holds(node: Node, other: Node) -> bool:
+    return node.first <= other.first <= node.last
+
+
+def _link_list(node: Node) -> bool:
+    return not node.inline and node.link_tags > 1 and 2 * node.links > node.chars
+
+
+def _leave_link_lists(node: Node, marks: list[Node]) -> None:
+    """Close the blocks of several links, and of little else, that are in no mark and hold none."""
+    marked, starts = {id(n) for n in marks}, sorted(n.first for n in marks)
+    stack = [node]
+    while stack:
+        node = stack.pop()
+        if id(node) in marked or not node.chars:
+            continue
+        at = bisect_left(starts, node.first)
+        if _link_list(node) and (at == len(starts) or starts[at] > node.last):
+            node.skip = NEVER
+            continue
+        stack.extend(c for c in node.children if isinstance(c, Node) and not c.skip)
 
 
 def text_of(node: Node) -> str:
